@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, license_scan, secret_scan, sharding, simhash, token_store
+from quern.llm import bpe, decontam, langid, license_scan, secret_scan, sharding, simhash, token_store
 from quern.llm.common import table
 
 
@@ -33,8 +33,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(table(spark, sf_dir, "documents")).drop("mixture")
+
+
 def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_license_scan, op3_jump_shards, op4_secret_scan, op6_simhash, op9_token_orc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_license_scan, op3_jump_shards, op4_secret_scan, op6_simhash, op7_decontamination, op8_language_mixture, op9_token_orc)}

@@ -16,21 +16,20 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from quern.llm.common import scratch_path
 
 END_ID = 2
-#: Chunks of text whose ids a worker keeps; beyond it starts anew.
-CACHE_CHUNKS = 400_000
+#: Pre-tokens whose ids a worker keeps; beyond it starts anew.
+CACHE_PIECES = 800_000
 STRIPE_BYTES, ROWS_PER_INDEX = 16 << 20, 1000
 
-#: Characters of which only space and newline are white space.
-_PLAIN = re.compile(r"[\n\x20-\x7e\xa1-\xac\xae-ᙿ]*")
-#: A word, perhaps on a new line, and the punctuation behind it: two pre-tokens.
-_WORD_AND_TAIL = re.compile(r"(\n?[A-Za-zÀ-ÖØ-öø-ž]+)([!-/:-@\[-`{-~]+)")
-_LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_LONG = 64
+_LETTER = "A-Za-zÀ-ÖØ-öø-ž"
+#: Texts of these characters alone (space and newline are their only white space) are cut into pre-tokens here, others by the library.
+_PLAIN = re.compile(r"[\n\x20-\x7e\xa1-\xa9\xab\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf-ž]*")
+#: The byte-level pre-tokenizer's pattern, for texts in which no two characters of white space meet.
+_PIECE = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -40,71 +39,30 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class CachedEncoder:
-    """The tokenizers library behind a cache of chunks.
-
-    A space with no other white space beside it begins a pre-token, as does what follows a
-    lone newline; so a text can be cut there, and its ids are those of its chunks in order.
-    """
+    """The tokenizers library behind a cache of pre-tokens, whose ids do not depend on what is around them."""
 
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self._bare: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
-        self._start()
-        probe = self.library.encode("a\nb\n c", add_special_tokens=False).ids
-        self._newline = self._direct("\n")
-        self._joins = self._newline == np.array(probe[1:2], "<u4").tobytes() and len(probe) == 5  # a newline is one id of its own
-
-    def _start(self) -> None:
-        self._kept = {"": self._direct(" "), "\n": self._direct("\n")}
+        # the same model over pre-tokens that are set apart by newlines
+        self.pieces = Tokenizer.from_file(path)
+        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self._newline = self.library.encode("\n", add_special_tokens=False).ids
+        if len(self._newline) != 1 or self.library.normalizer is not None or not isinstance(self.library.pre_tokenizer, pre_tokenizers.ByteLevel):
+            raise ValueError("the tokenizer is not a byte-level one")
+        self._kept = {"\n": self._direct("\n")}
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _first(self, chunk: str) -> bytes:
-        got = self._bare.get(chunk)
-        if got is None:
-            got = self._direct(chunk)
-            if len(chunk) <= _LONG:
-                if len(self._bare) >= CACHE_CHUNKS // 5:
-                    self._bare.clear()
-                self._bare[chunk] = got
-        return got
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Keeps the ids of chunks that are not kept yet: a word's, and behind it those of its punctuation."""
-        words, split = self._words, {}
-        for c in chunks:
-            if m := _WORD_AND_TAIL.fullmatch(c):
-                split[c] = m.groups()
-        needed = chunks.difference(split).union([w for w, _ in split.values()])
-        if len(words) + len(needed) > CACHE_CHUNKS:
-            words.clear()
-        self._encode_words(list(needed.difference(words)))
-        for c in chunks:
-            if c in split:
-                word, tail = split[c]
-                self._kept[c] = words[word] + self._first(tail)
-            else:
-                self._kept[c] = words[c]
-
-    def _encode_words(self, names: list[str]) -> None:
-        """Encodes words in one call, with newlines between them."""
-        if not names:
-            return
-        if not self._joins:
-            for c in names:
-                self._words[c] = self._direct("\n") + self._direct(c[1:]) if c[0] == "\n" else self._direct(" " + c)
-            return
-        joined = "\n".join([c[1:] if c[0] == "\n" else " " + c for c in names])
-        ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-        ends = [*np.flatnonzero(ids == np.frombuffer(self._newline, "<u4")[0]).tolist(), len(ids)]
-        raw, at = ids.tobytes(), 0
-        for c, end in zip(names, ends, strict=True):
-            got = raw[4 * at : 4 * end]
-            self._words[c] = self._newline + got if c[0] == "\n" else got
-            at = end + 1
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes pieces in one call and keeps them."""
+        ids = np.array(self.pieces.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        ends = [*(4 * np.flatnonzero(ids == self._newline[0])).tolist(), 4 * len(ids)]
+        raw, kept, at = ids.tobytes(), self._kept, 0
+        for piece, end in zip(pieces, ends, strict=True):
+            kept[piece] = raw[at:end]
+            at = end + 4
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
@@ -112,27 +70,21 @@ class CachedEncoder:
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
-        cut: list[tuple[int, str, list[str]]] = []
+        cut: list[tuple[int, list[str]]] = []
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if any([s in text for s in self.special]):
+            if any([s in text for s in self.special]) or not _PLAIN.fullmatch(text) or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
                 out[i] = self._direct(text)
-            elif _PLAIN.fullmatch(text) and not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text):
-                chunks = text.replace("\n", " \n").split(" ")
-                first, chunks[0] = chunks[0], ""
-                cut.append((i, first, chunks))
             else:
-                first, *rest = _LONE_SPACE.split(text)
-                out[i] = self._direct(first) + b"".join([self._kept[c] if c in self._kept else self._direct(" " + c) for c in rest])
-        wanted = set().union(*[c for _, _, c in cut])
-        if len(self._kept) + len(wanted) > CACHE_CHUNKS:
-            self._start()
+                cut.append((i, _PIECE.findall(text)))
+        wanted = set().union(*[c for _, c in cut])
+        if len(self._kept) + len(wanted) > CACHE_PIECES:
+            self._kept = {"\n": self._direct("\n")}
         if new := wanted.difference(self._kept):
-            self._learn(new)
-        for i, first, chunks in cut:
-            del chunks[0]
-            out[i] = self._first(first) + b"".join(map(self._kept.__getitem__, chunks))
+            self._learn(list(new))
+        for i, pieces in cut:
+            out[i] = b"".join(map(self._kept.__getitem__, pieces))
         return out
 
 

@@ -29,11 +29,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back: cuts lineage and survives a lost executor."""
+#: Rows of a narrow table in one file.
+ROWS_PER_FILE = 2_000_000
+
+
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """df, a narrow table of about so many rows at most, in no more partitions than cores and rows call for."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, rows // ROWS_PER_FILE))
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df, written to the shared folder and read back: cuts lineage and survives a lost executor; with rows: see few_files."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else few_files(df, rows)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -43,6 +52,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or something like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3 (a null id counts as the empty text); fold 1 is held out of all training."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3

@@ -5,42 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import drop_path, lookup_join, scratch_path
+from quern.llm.common import drop_path, few_files, scratch_path
 
 
-def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+def _written(df: DataFrame, rows: int) -> tuple[DataFrame, str]:
+    path = scratch_path(df.sparkSession, "links")
+    few_files(df, rows).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def _least_neighbour(edges: DataFrame, near: str, far: str) -> DataFrame:
-    """edges with `least`, the least of `near` and everything that its edges reach; a hot `near` is not gathered in a task."""
-    total = edges.count()
-    least = edges.groupBy(near).agg(F.least(F.min(far), F.first(near)).alias("least"), F.count(F.lit(1)).alias("__n"))
-    return lookup_join(edges, least, near, "__n", total)
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(hi, lo, least): each link with the least of `hi` and all that its links reach.
+
+    The joined side has one row for each node, so that the other can be split where a node has very many links.
+    """
+    least = edges.groupBy("hi").agg(F.least(F.min("lo"), F.first("hi")).alias("least"))
+    return edges.join(least, "hi")
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, rows: int, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an undirected graph of bigint links; root is its component's least node.
 
-    Alternating large-star and small-star rounds: each writes its links to the shared folder,
-    until a round changes nothing. Nulls and loops link nothing; no links give no rows.
+    Alternating large-star and small-star steps: each round writes its links, `rows` of them at
+    most or so, to the shared folder, until one changes nothing. Nulls and loops link nothing; no links give no rows.
     """
     spark = links.sparkSession
     pairs = links.where(f"{a} IS NOT NULL AND {b} IS NOT NULL AND {a} <> {b}").select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
-    edges, path = _written(pairs, "links")
+    edges, path = _written(pairs, rows)
     mark = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         # large star: what lies above a node joins the least node near it
-        large, large_path = _written(_least_neighbour(both, "hi", "lo").where("lo > hi").select(F.col("lo").alias("hi"), F.col("least").alias("lo")).where("hi <> lo").distinct(), "links")
+        large = _with_least(both).where("lo > hi").select(F.col("lo").alias("hi"), F.col("least").alias("lo")).where("hi <> lo").distinct()
         # small star: what lies below a node, and the node, join the least of them
-        near = _least_neighbour(large, "hi", "lo")
-        small = near.select(F.col("lo").alias("hi"), F.col("least").alias("lo")).unionByName(near.select("hi", F.col("least").alias("lo"))).where("hi <> lo").distinct()
-        new, new_path = _written(small, "links")
-        for p in (path, large_path):
-            drop_path(spark, p)
+        near = _with_least(large)
+        small = near.select(F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("least").alias("lo")), F.struct("hi", F.col("least").alias("lo")))).alias("e")).select("e.*").where("hi <> lo").distinct()
+        new, new_path = _written(small, rows)
+        drop_path(spark, path)
         edges, path = new, new_path
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == mark:

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import lookup_join, materialize
+from quern.llm.common import fresh, lookup_join, materialize
 from quern.llm.components import connected_components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -154,13 +154,13 @@ def near_links(marks: DataFrame, radius: int = RADIUS, n_pivots: int = N_PIVOTS,
     keyed = dealt(marks.select("fingerprint"), F.array(*(F.lit(_signed(m)).cast("bigint") for m in block_masks(list(range(64))))))
     found = None
     while True:
-        sizes = materialize(keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > bucket_rows), "buckets")
-        large = sizes.count()
-        if not large:
+        sizes = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > bucket_rows)
+        if sizes.isEmpty():
             part = _links_in_buckets(keyed, radius, n_pivots)
             return part if found is None else found.unionByName(part)
         # what large buckets hold is dealt anew by three of six blocks of the bits that their keys leave free; within three such
         # rounds no bit pattern is left that more than 256 fingerprints share
+        sizes = materialize(sizes, "buckets")
         named = keyed.withColumn("__bucket", F.xxhash64("mask", "key"))
         names = sizes.groupBy(F.xxhash64("mask", "key").alias("__bucket")).agg(F.sum("__n").alias("__n"))
         held = lookup_join(named, names, "__bucket", "__n", keyed.count())
@@ -173,16 +173,15 @@ def near_links(marks: DataFrame, radius: int = RADIUS, n_pivots: int = N_PIVOTS,
         keyed = materialize(dealt(held, tables[F.col("mask")]).distinct(), "keyed")
 
 
-def component_table(marks: DataFrame, **how) -> DataFrame:
-    """(fingerprint, __n, component_id) for each distinct fingerprint of marks (doc_id, fingerprint); component_id is the least doc_id reachable."""
-    distinct = materialize(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("__n")), "fingerprints")
-    links = near_links(distinct, **how)
-    roots = connected_components(links)
+def component_table(marks: DataFrame, rows: int, **how) -> DataFrame:
+    """(fingerprint, __n, component_id) for each distinct fingerprint of the `rows` rows of marks (doc_id, fingerprint); component_id is the least doc_id reachable."""
+    distinct = materialize(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("__n")), "fingerprints", rows)
+    roots = connected_components(near_links(distinct, **how), rows)
     rooted = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select("fingerprint", "__n", "least_id", "root")
-    least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("__m"))
-    alone = rooted.where("root IS NULL").select("fingerprint", "__n", F.col("least_id").alias("component_id"))
-    linked = rooted.where("root IS NOT NULL").drop("least_id")
-    return materialize(alone.unionByName(lookup_join(linked, least, "root", "__m", linked.count()).select("fingerprint", "__n", "component_id")), "components")
+    linked = rooted.where("root IS NOT NULL")
+    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    found = linked.drop("least_id").join(least, "root").select("fingerprint", "__n", "component_id")
+    return materialize(rooted.where("root IS NULL").select("fingerprint", "__n", F.col("least_id").alias("component_id")).unionByName(found), "components", rows)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -194,8 +193,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     marks = materialize(with_fingerprints(rows, ["doc_id"]), "marks")
-    labels = component_table(marks, **how)
-    joined = lookup_join(marks, labels, "fingerprint", "__n", marks.count())
+    n = marks.count()
+    joined = lookup_join(marks, component_table(marks, n, **how), "fingerprint", "__n", n)
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -206,16 +205,19 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hash of its columns stays, the first of equal rows.
     """
     columns = docs.columns
-    marked = materialize(with_fingerprints(docs, columns, text_col, "__mark").withColumn("__tie", F.xxhash64(*(f"`{c}`" for c in columns))), "marked")
-    marks = marked.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col("__mark").alias("fingerprint"), "__tie")
-    labels = component_table(marks, **how)
-    joined = lookup_join(marks, labels, "fingerprint", "__n", marks.count())
+    every = [F.col(f"`{c}`") for c in columns]
+    # a row is known by two hashes of all its columns; equal rows are alike in both (maps, which have no hash, go as text)
+    hashable = [F.to_json(F.struct(c)) if "map<" in kind else c for c, (_, kind) in zip(every, docs.dtypes, strict=True)]
+    h1, h2 = (fresh(docs, n) for n in ("__h1", "__h2"))
+    hashed = docs.withColumn(h1, F.xxhash64(*hashable)).withColumn(h2, F.xxhash64(F.lit(1), *hashable))
+    narrow = hashed.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(h1).alias("__h1"), F.col(h2).alias("__h2"), F.col(text_col).alias("text"))
+    marks = materialize(with_fingerprints(narrow, ["doc_id", "__h1", "__h2"]), "marked")
+    n = marks.count()
+    joined = lookup_join(marks, component_table(marks, n, **how), "fingerprint", "__n", n)
     # one row for each component, by a partial minimum; a null id comes after all others
-    best = joined.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("__own")).agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__tie", "fingerprint")).alias("b")
-    )
-    chosen = best.select(F.col("b.doc_id").alias("__id"), F.col("b.__tie").alias("__t"), F.col("b.fingerprint").alias("__f"))
-    kept = marked.join(chosen, F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__t")) & (F.col("__mark") == F.col("__f")), "left_semi")
-    # equal rows, wholly repeated, are all still there: one of each stays
-    one = kept.withColumn("__k", F.row_number().over(W.partitionBy("__mark", "__tie").orderBy(F.lit(1)))).where("__k = 1")
-    return one.select(*(f"`{c}`" for c in columns))
+    best = joined.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("__own")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__h1", "__h2")).alias("b"))
+    chosen = best.select(F.col("b.__h1").alias(h1), F.col("b.__h2").alias(h2)).distinct()
+    kept = hashed.join(chosen, [h1, h2], "left_semi")
+    # of rows wholly repeated one stays
+    nth = fresh(hashed, "__nth")
+    return kept.withColumn(nth, F.row_number().over(W.partitionBy(h1, h2).orderBy(F.lit(1)))).where(F.col(nth) == 1).select(*every)

@@ -13,6 +13,7 @@ from quern.operators.aggregate import Stage
 from quern.operators.search import SearchOptions
 from quern.plans.commands import parse_aggregate, parse_search, split_command
 from quern.plans.schema import KEY, TAG, TEXT, VECTOR, Catalog, IndexSchema, QueryError, Settings, parse_create
+from quern.session import ship
 from quern.sources.prepare import prepare
 from quern.sources.snapshot import load_snapshot, save_snapshot
 
@@ -34,6 +35,7 @@ class Engine:
     def __init__(self, spark: SparkSession, settings: Settings | None = None, db: int = 0) -> None:
         self.spark, self.settings, self.db, self.catalog = spark, settings or Settings(), db, Catalog()
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship(spark)
 
     # -- definitions
 
@@ -78,7 +80,9 @@ class Engine:
         if not texts:
             return counted.withColumn("num_terms", F.lit(0).cast("bigint"))
         terms = rows.select(F.explode(F.concat(*(F.coalesce(t, F.array()) for t in texts))).alias("w")).agg(F.count_distinct("w").alias("num_terms"))
-        return counted.crossJoin(F.broadcast(terms))  # one row beside one row
+        # one row and one row: put one below the other, then each column's only value taken
+        both = counted.unionByName(terms, allowMissingColumns=True)
+        return both.agg(*(F.max(c).alias(c) for c in both.columns))
 
     # -- queries
 

@@ -70,10 +70,10 @@ class FilterCompiler:
 
     # -- words
 
-    def _vocabulary(self, fields: tuple[str, ...], keep: Callable[[Column], Column], limit: int | None) -> list[str]:
-        """The distinct words of the fields that pass `keep`, in order, the first `limit` of them."""
+    def _vocabulary(self, fields: tuple[str, ...], keep: Callable[[DataFrame], DataFrame], limit: int | None, by: Column | None = None) -> list[str]:
+        """The distinct words of the fields that pass `keep`, in order (of `by`), the first `limit` of them."""
         every = reduce(DataFrame.unionAll, (self.rows.select(F.explode(self._column(f)).alias("w")) for f in fields))
-        found = keep(every).distinct().orderBy("w")
+        found = keep(every).distinct().orderBy("w" if by is None else by)
         return [r.w for r in (found if limit is None else found.limit(limit)).collect()]
 
     def _expansion(self, node: Word, field: str) -> list[str] | None:
@@ -102,9 +102,8 @@ class FilterCompiler:
                 self._words[key] = None
             else:
                 test = w.startswith(node.text) if node.how == "prefix" else w.endswith(node.text)
-                some = self._vocabulary(node.fields, lambda d: d.where(test), limit + 1)
-                if node.how == "suffix" and len(some) > limit:  # the suffix tree is walked by reversed words
-                    some = sorted(self._vocabulary(node.fields, lambda d: d.where(test), None), key=lambda x: x.encode()[::-1])
+                # the first by the spelling read from the word's fixed side on
+                some = self._vocabulary(node.fields, lambda d: d.where(test), limit + 1, F.reverse(w) if node.how == "suffix" else None)
                 self._words[key] = some[:limit] if len(some) > limit else None
         return self._words[key]
 

@@ -16,13 +16,15 @@ from quern.sources.prepare import DOCUMENT, prepare, raw_value
 
 @dataclass(frozen=True)
 class SearchOptions:
-    """returns: (field, name) pairs, or None for all content; limit: (offset, number)."""
+    """returns: (field, name) pairs, or None for all content; limit: (offset, number), or None for all rows,
+    which then are in no order unless one is asked for.
+    """
 
     returns: tuple[tuple[str, str], ...] | None = None
     nocontent: bool = False
     sortby: tuple[str, bool] | None = None
     with_sort_keys: bool = False
-    limit: tuple[int, int] = (0, 10)
+    limit: tuple[int, int] | None = (0, 10)
     verbatim: bool = False
     inorder: bool = False
     slop: int | None = None
@@ -89,6 +91,8 @@ def search(source: DataFrame, schema: IndexSchema, query: str, settings: Setting
         columns.append(F.concat(F.lit("#"), sort_key.cast("string")).alias("__sortkey"))
     if not options.nocontent and options.returns != ():
         columns += _fields(source, rows, schema, hits, options, key)
+    if options.limit is None:
+        return (rows if sort_key is None else rows.orderBy(*order)).select(*columns)
     offset, number = options.limit
     if hits.k is not None and offset >= hits.k:
         number = 0

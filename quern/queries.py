@@ -58,7 +58,7 @@ def add(name: str, query: Query, sql: str | None = None) -> None:
 
 def add_search(name: str, index: str, query: str, sql: str | None, columns: dict[str, str] | None = None, settings: Settings | None = None, prefixes: tuple[str, ...] = (), **options) -> None:
     """A search whose whole result is returned (key alone, or the named fields); a LIMIT stands only where paging is the feature."""
-    options.setdefault("limit", (0, 2**31 - 1))
+    options.setdefault("limit", None)
     if columns is None:
         options.setdefault("nocontent", True)
     else:
@@ -250,7 +250,7 @@ def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     early, late = changes.where(F.col("value") < 50), changes.where(F.col("value") >= 50)
     e = Engine(spark)
     e.create(IndexSchema("users", (Field("value", NUMERIC), Field("event_type", TAG), Field("event_id", NUMERIC))), live(merge(merge(None, early), late)))
-    return e.search("users", "*", limit=(0, 2**31 - 1), returns=(("event_id", "event_id"), ("value", "value"))).withColumnRenamed(KEY, "key")
+    return e.search("users", "*", limit=None, returns=(("event_id", "event_id"), ("value", "value"))).withColumnRenamed(KEY, "key")
 
 
 add("stream_upsert", _upsert, "SELECT key, event_id, value FROM (SELECT CAST(user_id AS VARCHAR) AS key, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND event_id % 7 <> 0")

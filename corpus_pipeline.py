@@ -8,41 +8,56 @@ the token ids of each text and the digests of ids and decoded text.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quern.llm import bpe, decontam, langid, secret_scan, simhash
-from quern.llm.common import materialize, table
+from quern.llm.common import materialize, ready, table
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+
+def _stage(f: Stage) -> Stage:
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ready(spark)
+        return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in which no language has a fair share, go."""
     return langid.keep_identified(docs)
 
 
+@_stage
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id stays."""
     return simhash.keep_one_of_each(docs)
 
 
+@_stage
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark, perhaps edited, go."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets become a mark; n_chars follows the text."""
-    clean = secret_scan.redact_secrets(docs)
-    return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+    """Secrets become a mark; n_chars follows where the text changes."""
+    return secret_scan.redact_secrets(docs, count_col="n_chars" if "n_chars" in docs.columns else None)
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text that is left."""
     return bpe.encode_digests(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("language_id", identify_language),
     ("near_duplicates", remove_near_duplicates),
     ("benchmark", remove_benchmark),

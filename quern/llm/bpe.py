@@ -23,11 +23,13 @@ from tokenizers import Tokenizer
 
 #: A character with the end-of-word suffix is one symbol: its code point plus this.
 _WORD_END = 0x20000
-#: Chunks of text (between white space), pieces and pairs of tokens of which a worker keeps what it found; beyond that it starts anew.
-CACHE_CHUNKS, CACHE_PIECES, CACHE_PAIRS = 400_000, 300_000, 500_000
-#: Chunks longer than this are not kept.
+#: Pieces of text and pairs of tokens of which a worker keeps what it found; beyond that it starts anew.
+CACHE_PIECES, CACHE_PAIRS = 300_000, 200_000
+#: Pieces longer than this are not kept.
 _LONG = 64
 
+#: The letters and digits among the characters of _PLAIN.
+_LETTER, _DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ž", "0-9²³¹¼-¾"
 #: Characters for which Python's normalisation, lower case and classes equal the tokenizers library's; texts with others go through the library's own normaliser and pre-tokenizer.
 _PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1-\xac\xae-įĲ-ž]*")
 
@@ -175,55 +177,41 @@ class BpeCodec:
         pre = config["pre_tokenizer"]["pretokenizers"]
         self.pieces = regex.compile(pre[0]["pattern"]["Regex"])
         self.decoder = config.get("decoder")
-        self._kept: dict[str, tuple[str, str]] = {}
-        self._known: dict[str, list[int]] = {}
-
-    def _encode_word(self, word: str) -> list[int]:
-        """The ids of a piece in its own characters, not yet in byte symbols."""
-        got = self._known.get(word)
-        if got is None:
-            got = self.model.encode_piece(word if word.isascii() else "".join([self.bytes[b] for b in word.encode()]))
-            if len(word) <= _LONG:
-                if len(self._known) >= CACHE_PIECES:
-                    self._known.clear()
-                self._known[word] = got
-        return got
+        # the pieces' pattern in explicit classes, which says the same of plain characters
+        self.plain_pieces = re.compile(self.pieces.pattern.replace(r"\p{L}", _LETTER).replace(r"\p{N}", _DIGIT).replace(f"[[{_LETTER}]", f"[{_LETTER}"))
+        self._ids: dict[str, str] = {}
+        self._texts: dict[str, str] = {}
 
     def _written(self, ids: list[int]) -> tuple[str, str]:
         return " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids))
 
 
-    def _chunk(self, chunk: str) -> tuple[str, str]:
-        """(ids, tokens) of a chunk without white space, in lower case; both joined by one space."""
-        got = self._kept.get(chunk)
-        if got is None:
-            got = self._written([i for p in self.pieces.findall(chunk) for i in self._encode_word(p)])
-            if len(chunk) <= _LONG:
-                if len(self._kept) >= CACHE_CHUNKS:
-                    self._kept.clear()
-                self._kept[chunk] = got
-        return got
+    def _learn(self, pieces: set[str]) -> None:
+        """Encodes pieces in their own characters and keeps what they come to."""
+        if len(self._ids) + len(pieces) > CACHE_PIECES:
+            self._ids, self._texts = {}, {}
+        for p in pieces:
+            self._ids[p], self._texts[p] = self._written(self.model.encode_piece(p if p.isascii() else "".join([self.bytes[b] for b in p.encode()])))
 
-    def _segment(self, text: str) -> list[tuple[str, str]]:
+    def _segment(self, text: str) -> tuple[str, str]:
         if _PLAIN.fullmatch(text):
-            kept = self._kept
-            chunks = text.lower().split()
-            try:
-                return [kept[c] for c in chunks]
-            except KeyError:
-                return [self._chunk(c) for c in chunks]
+            pieces = self.plain_pieces.findall(text.lower())
+            if new := set(pieces).difference(self._ids):
+                self._learn(new if len(self._ids) + len(new) <= CACHE_PIECES else set(pieces))
+            found = " ".join(map(self._ids.__getitem__, pieces)), " ".join(map(self._texts.__getitem__, pieces))
+            for p in new:
+                if len(p) > _LONG:
+                    del self._ids[p], self._texts[p]
+            return found
         clean = self.library.normalizer.normalize_str(text)
-        return [self._written([i for p, _ in self.library.pre_tokenizer.pre_tokenize_str(clean) for i in self.model.encode_piece(p)])]
+        return self._written([i for p, _ in self.library.pre_tokenizer.pre_tokenize_str(clean) for i in self.model.encode_piece(p)])
 
     def encode_written(self, text: str | None) -> tuple[str, str]:
         """(decimal ids, tokens), each joined by one space."""
         text = text or ""
-        if self.special_split and any(s in text for s in self.special):
-            parts: list[tuple[str, str]] = []
-            for segment in self.special_split.split(text):
-                parts += [(str(self.special[segment]), segment)] if segment in self.special else self._segment(segment)
-        else:
-            parts = self._segment(text)
+        if not self.special_split or not any(s in text for s in self.special):
+            return self._segment(text)
+        parts = [(str(self.special[x]), x) if x in self.special else self._segment(x) for x in self.special_split.split(text)]
         return " ".join([a for a, _ in parts if a]), " ".join([b for a, b in parts if a])
 
     def encode(self, text: str | None) -> list[int]:
@@ -279,7 +267,7 @@ def encode_ids(docs: DataFrame, path: str | None = None, text_col: str = "text",
     kept = [c for c in docs.columns if c != out_col]
     rows = docs.select(*(f"`{c}`" for c in kept))
     at = kept.index(text_col)
-    schema = rows.schema.add(out_col, T.ArrayType(T.IntegerType()))
+    schema = T.StructType([*rows.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -303,4 +291,4 @@ def decode_ids(rows: DataFrame, path: str | None = None, ids_col: str = "token_i
             texts = [None if x is None else c.decode(x) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out_col])
 
-    return rows.mapInArrow(run, rows.schema.add(out_col, T.StringType()))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())]))

@@ -4,15 +4,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.session import ship
+
 #: A key with more than this share of all rows is joined through a broadcast: at most 1 / HOT_SHARE keys can have it.
 HOT_SHARE = 0.001
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Documents in an Arrow batch, where the session does not say; Spark's own 10,000 whole texts take too much memory.
+BATCH_ROWS = 1000
+
+
+def ready(spark: SparkSession) -> None:
+    """Readies a session for the operators: the package on its workers, and batches of whole texts that stay small."""
+    ship(spark)
+    if spark.sparkContext.getConf().get(_BATCH) is None and spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,7 +52,7 @@ ROWS_PER_FILE = 2_000_000
 
 def few_files(df: DataFrame, rows: int) -> DataFrame:
     """df, a narrow table of about so many rows at most, in no more partitions than cores and rows call for."""
-    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, rows // ROWS_PER_FILE))
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // ROWS_PER_FILE))
 
 
 def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -60,6 +77,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows, so that what is made of one stays small."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def text_fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3 (a null id counts as the empty text); fold 1 is held out of all training."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3

@@ -14,6 +14,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from quern.llm.common import slices
+
 #: Bytes that belong to no word become spaces, A-Z become a-z; every byte of a non-ASCII character is a word's.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = regex.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # over text in its own case
@@ -136,7 +138,7 @@ def scan_licenses(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(notices)
-        for b in batches:
+        for b in slices(batches):
             rows = [scanner.scan(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(list(_ARROW)[1:])], schema=_ARROW)
 

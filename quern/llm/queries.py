@@ -54,3 +54,6 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_license_scan, op3_jump_shards, op4_secret_scan, op5_quality_rules, op6_simhash, op7_decontamination, op8_language_mixture, op9_token_orc, op10_ann)}
+
+#: The same in DuckDB SQL, where SQL can express it.
+ORACLES: dict[str, str] = {}

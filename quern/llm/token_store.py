@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
@@ -67,24 +67,32 @@ class CachedEncoder:
     def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
 
-    def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = [b""] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
+    def encode_many(self, texts: list[str | None], end: bytes = b"") -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers, with `end` behind them."""
+        out: list[bytes] = [end] * len(texts)
+        cut: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
+        new: set[str] = set()
+        known = self._kept.get
         for i, text in enumerate(texts):
             if not text:
                 continue
             if any([s in text for s in self.special]) or not _PLAIN.fullmatch(text) or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
-                out[i] = self._direct(text)
-            else:
-                cut.append((i, _PIECE.findall(text)))
-        wanted = set().union(*[c for _, c in cut])
-        if len(self._kept) + len(wanted) > CACHE_PIECES:
-            self._kept = {"\n": self._direct("\n")}
-        if new := wanted.difference(self._kept):
+                out[i] = self._direct(text) + end
+                continue
+            pieces = _PIECE.findall(text)
+            ids = list(map(known, pieces))
+            gaps = [k for k, x in enumerate(ids) if x is None]
+            new.update([pieces[k] for k in gaps])
+            cut.append((i, pieces, ids, gaps))
+        if new:
+            if len(self._kept) + len(new) > CACHE_PIECES:
+                self._kept = {"\n": self._direct("\n")}
             self._learn(list(new))
-        for i, pieces in cut:
-            out[i] = b"".join(map(self._kept.__getitem__, pieces))
+        for i, pieces, ids, gaps in cut:
+            for k in gaps:
+                ids[k] = self._kept[pieces[k]]
+            ids.append(end)
+            out[i] = b"".join(ids)
         return out
 
 
@@ -98,13 +106,37 @@ def encoder(path: str) -> CachedEncoder:
     return _ENCODERS[path]
 
 
+#: Relative precision of the ids' quantiles that part the files.
+_PRECISION = 20_000
+
+
+def part_of(doc_id: Column, tie: Column, bounds: list[int]) -> Column:
+    """The number of the range that an id falls into; an id that several bounds equal is spread over their ranges by tie.
+
+    Bounds are searched in two steps, so that a row is compared with few of them.
+    """
+    if not bounds:
+        return F.lit(0)
+    width = max(1, int(len(bounds) ** 0.5))
+    groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    lasts, table = F.array(*(F.lit(g[-1]) for g in groups)), F.array(*(F.array(*map(F.lit, g)) for g in groups))
+
+    def count(below: Callable[[Column], Column]) -> Column:
+        """How many bounds are below."""
+        full = F.size(F.filter(lasts, below))
+        return F.least(full * width, F.lit(len(bounds))) + F.coalesce(F.size(F.filter(F.get(table, full), below)), F.lit(0))
+
+    low, high = count(lambda b: b < doc_id), count(lambda b: b <= doc_id)
+    return (low + F.pmod(tie, high - low + 1)).cast("int")
+
+
 FILE_SCHEMA = "doc_id bigint, part int, at bigint, n_tokens bigint, ids array<int>"
 
 
 def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
     """Writes FILE_SCHEMA rows to the folder `to`: the parts in ascending order, rows within each in ascending doc_id order (null first).
 
-    Rows of one id, however many, are spread by a hash of their text. A null text is empty:
+    Rows of one id (or of none), however many, are spread by a hash of their text. A null text is empty:
     it has the end id alone. Repeated rows are written each; other columns are ignored.
     """
     path = path or tokenizer_path()
@@ -114,8 +146,8 @@ def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             texts = b.column(1)
-            for lo in range(0, b.num_rows, 256):  # so that a batch of long texts stays small
-                raw = [x + end for x in enc.encode_many(texts.slice(lo, 256).to_pylist())]
+            for lo in range(0, b.num_rows, 1000):  # so that a batch of long texts stays small
+                raw = enc.encode_many(texts.slice(lo, 1000).to_pylist(), end)
                 sizes = np.array([len(x) // 4 for x in raw], np.int64)
                 ends = np.cumsum(sizes)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), "<i4")))
@@ -126,9 +158,12 @@ def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int
                 at += int(ends[-1])
 
     rows = docs.selectExpr(f"cast(`{id_col}` as bigint) AS doc_id", f"`{text_col}` AS text")
-    tie = F.xxhash64("text")
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
+    # quantiles of the ids alone: a range partitioning of Spark's own would read all texts for its sample
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    bounds = rows.select(F.percentile_approx(key, [i / n for i in range(1, n)], _PRECISION)).first()[0] if n > 1 else None
+    tie = F.xxhash64("text")
+    ordered = rows.repartitionById(n, part_of(key, tie, list(bounds or []))).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     (
         ordered.mapInArrow(run, FILE_SCHEMA)
         .write.option("compression", "zstd")

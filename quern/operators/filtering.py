@@ -96,7 +96,12 @@ class FilterCompiler:
                 self._words[key] = list(dict.fromkeys([node.text, goal, *self._vocabulary(stemmed, keep, limit)]))
             elif node.how == "fuzzy":
                 size = len(node.text.encode())
-                close = lambda d: d.where(F.octet_length(w).between(size - node.distance, size + node.distance)).distinct().where(within_column(w, node.text, node.distance))
+
+                def close(d: DataFrame) -> DataFrame:
+                    # a swap is two edits to the built-in distance: what is over twice the limit needs no closer look
+                    likely = d.where(F.octet_length(w).between(size - node.distance, size + node.distance)).distinct().where(F.levenshtein(w, F.lit(node.text), 2 * node.distance) >= 0)
+                    return likely.where(within_column(w, node.text, node.distance))
+
                 self._words[key] = self._vocabulary(node.fields, close, limit)
             elif limit is None:
                 self._words[key] = None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -72,10 +73,15 @@ def _float_of_bits(bits: Column) -> Column:
     return (sign * F.when(exponent == 0, small).when(exponent == 255, special).otherwise(normal)).cast("float")
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed one time, however often f names it: for values that are dear to get."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def raw_value(df: DataFrame, schema: IndexSchema, field: Field) -> tuple[Column, str]:
     """A field's raw column and its type: a column of that name, or a path into the JSON document."""
     if schema.on == "JSON" and field.identifier.startswith(DOCUMENT):
-        return F.nullif(F.get_json_object(F.col(f"`{DOCUMENT}`"), field.identifier), F.lit("")), "string"
+        return once(F.get_json_object(F.col(f"`{DOCUMENT}`"), field.identifier), lambda v: F.nullif(v, F.lit(""))), "string"
     if field.identifier not in df.columns:
         return F.lit(None).cast("string"), "string"
     return F.col(f"`{field.identifier}`"), dict(df.dtypes)[field.identifier]
@@ -84,14 +90,15 @@ def raw_value(df: DataFrame, schema: IndexSchema, field: Field) -> tuple[Column,
 def typed(df: DataFrame, schema: IndexSchema, field: Field) -> tuple[Column, Column]:
     """(prepared column, whether the raw value is there but invalid)."""
     value, dtype = raw_value(df, schema, field)
+    dear = schema.on == "JSON" and field.identifier.startswith(DOCUMENT)
     if field.kind == NUMERIC:
-        out = to_number(value, dtype)
+        out = once(value, lambda v: to_number(v, dtype)) if dear else to_number(value, dtype)
     elif field.kind == TAG:
         if dtype.startswith("array"):
             listed = F.transform(value.cast("array<string>"), lambda t: t if field.case_sensitive else ascii_lower(t))
             out = F.when(F.size(listed) > 0, F.array_distinct(F.filter(listed, lambda t: t.isNotNull() & (t != ""))))
         else:
-            out = to_tags(value.cast("string"), field)
+            out = once(value, lambda v: to_tags(v, field)) if dear else to_tags(value.cast("string"), field)
         return out, F.lit(False)
     elif field.kind == TEXT:
         text = value.cast("string")

@@ -79,7 +79,7 @@ class Engine:
         )
         if not texts:
             return counted.withColumn("num_terms", F.lit(0).cast("bigint"))
-        terms = rows.select(F.explode(F.concat(*(F.coalesce(t, F.array()) for t in texts))).alias("w")).agg(F.count_distinct("w").alias("num_terms"))
+        terms = rows.select(F.explode_outer(F.concat(*(F.coalesce(t, F.array()) for t in texts))).alias("w")).agg(F.count_distinct("w").alias("num_terms"))
         # one row and one row: put one below the other, then each column's only value taken
         both = counted.unionByName(terms, allowMissingColumns=True)
         return both.agg(*(F.max(c).alias(c) for c in both.columns))

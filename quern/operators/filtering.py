@@ -72,7 +72,8 @@ class FilterCompiler:
 
     def _vocabulary(self, fields: tuple[str, ...], keep: Callable[[DataFrame], DataFrame], limit: int | None, by: Column | None = None) -> list[str]:
         """The distinct words of the fields that pass `keep`, in order (of `by`), the first `limit` of them."""
-        every = reduce(DataFrame.unionAll, (self.rows.select(F.explode(self._column(f)).alias("w")) for f in fields))
+        # a plain explode would have Spark filter by the words' number first, and so find them twice more
+        every = reduce(DataFrame.unionAll, (self.rows.select(F.explode_outer(self._column(f)).alias("w")) for f in fields)).where("w IS NOT NULL")
         found = keep(every).distinct().orderBy("w" if by is None else by)
         return [r.w for r in (found if limit is None else found.limit(limit)).collect()]
 

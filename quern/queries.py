@@ -124,7 +124,7 @@ _PART_WORDS, _DOC_WORDS = _WORDS.format("p_name"), _WORDS.format("text")
 #: DuckDB folds the case of letters as Spark does in these texts; ß alone is folded further.
 _DOC_WORDS = _WORDS.format("replace(text, 'ß', 'ss')")
 add_search("text_term", "docs", "@text:idiot", f"SELECT {DOC} FROM documents WHERE list_contains({_DOC_WORDS}, 'idiot')")
-add_search("text_term_part", "part", "@p_name:copper", f"SELECT {PART} FROM part WHERE list_contains({_PART_WORDS}, 'copper')")
+add_search("text_term_part", "part", "@p_name:widget -@p_name:red", f"SELECT {PART} FROM part WHERE list_contains({_PART_WORDS}, 'widget') AND NOT list_contains({_PART_WORDS}, 'red')")
 add_search("text_prefix", "docs", "license*", f"SELECT {DOC} FROM documents WHERE len(list_filter({_DOC_WORDS}, lambda w: starts_with(w, 'license'))) > 0")
 add_search("text_prefix_uncapped", "docs", "@text:er*", f"SELECT {DOC} FROM documents WHERE len(list_filter({_DOC_WORDS}, lambda w: starts_with(w, 'er'))) > 0", settings=Settings(max_term_expansions=None))
 add_search("text_suffix", "docs", "@text:*heit", f"SELECT {DOC} FROM documents WHERE len(list_filter({_DOC_WORDS}, lambda w: ends_with(w, 'heit'))) > 0", settings=Settings(max_term_expansions=None))

@@ -1,11 +1,14 @@
 """Benchmark decontamination by the q-gram lemma.
 
-A benchmark text is cut into overlapping windows. Two strings of which one, of length m,
-becomes the other by at most k edits share at least m - q + 1 - k * q q-grams, all within
-k + 1 neighbouring diagonals (place in the document minus place in the window). So the
-q-grams shared with each window are counted in overlapping bands of diagonals; bands with
-enough of them are verified by banded alignment. Texts are compared in lower case, with
-runs of other characters than letters and digits as one space.
+A benchmark text is cut into windows: one of 13 words from every word on (of 96 characters
+at most, and from every 12 characters on within a long word), and one of 96 characters every
+48. So a passage of 13 whole words, or of 108 characters (bytes of UTF-8), is found wherever
+it begins. Two strings of which one, of length m, becomes the other by at most k edits share
+at least m - q + 1 - k * q q-grams, all within k + 1 neighbouring diagonals (place in the
+document minus place in the item). So the q-grams shared with each item are gathered in
+overlapping bands of diagonals; the windows of which a band holds enough are verified by
+alignment. Texts are compared in lower case, with runs of other characters than letters and
+digits as one space. A benchmark text of under q characters is found as it is, as whole words.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 Q = 12
 #: Windows are this long, begin half as far apart, and allow one edit for so many characters.
 WINDOW, PER_EDIT = 96, 16
+#: The least passage in words; a window of so many begins at every word.
+WORDS = 13
 #: Diagonals in a band, besides the overlap of k with the next.
 BAND = 32
 #: The benchmark is broadcast in blocks of about this many bytes of text, each over all documents.
@@ -52,18 +57,34 @@ class Window:
     text: bytes
     edits: int
     shared: int
+    start: int
+
+
+def spans_of(raw: bytes) -> list[tuple[int, int]]:
+    """Start and end of the item's windows; a text shorter than WINDOW is itself one window."""
+    size, out = len(raw), []
+    for s in range(0, max(1, size - WINDOW // 2), WINDOW // 2) if size > WINDOW else (0,):
+        at = max(0, min(s, size - WINDOW))
+        out.append((at, min(size, at + WINDOW)))
+    starts = [0, *(i + 1 for i, c in enumerate(raw) if c == 32)]
+    ends = [*(s - 1 for s in starts[1:]), size]
+    for n, (s, word_end) in enumerate(zip(starts, ends, strict=True)):
+        for at in range(s, max(word_end, s + 1), Q):
+            last = ends[n + WORDS - 1] if n + WORDS <= len(ends) else size + 1
+            end = min(last, at + WINDOW)
+            if end <= size:
+                out.append((at, end))
+    return list(dict.fromkeys(out))
 
 
 def windows_of(item: int, raw: bytes) -> list[Window]:
-    """The item's windows; a text shorter than WINDOW is one window, and one too short for the lemma may not be edited."""
-    starts = range(0, max(1, len(raw) - WINDOW // 2), WINDOW // 2) if len(raw) > WINDOW else (0,)
+    """The item's windows; one too short for the lemma may not be edited."""
     out = []
-    for s in starts:
-        part = raw[max(0, min(s, len(raw) - WINDOW)) :][:WINDOW]
-        grams = len(part) - Q + 1
+    for start, end in spans_of(raw):
+        grams = end - start - Q + 1
         if grams > 0:
-            k = max(0, min(len(part) // PER_EDIT, (grams - 1) // Q))
-            out.append(Window(item, part, k, grams - k * Q))
+            k = max(0, min((end - start) // PER_EDIT, (grams - 1) // Q))
+            out.append(Window(item, raw[start:end], k, grams - k * Q, start))
     return out
 
 
@@ -92,34 +113,77 @@ def banded_edits(pattern: bytes, text: bytes, low: int, width: int, limit: int)
     return int(row[best]), int(span[best] + len(p))
 
 
+def least_edits(pattern: bytes, text: bytes) -> tuple[int, int]:
+    """(least edits, end in text) of pattern against any substring of text, by the bits of whole numbers (Myers)."""
+    peq: dict[int, int] = {}
+    for i, c in enumerate(pattern):
+        peq[c] = peq.get(c, 0) | 1 << i
+    full, top = (1 << len(pattern)) - 1, 1 << len(pattern) - 1
+    up, down, score = full, 0, len(pattern)
+    best, end = score, 0
+    for j, c in enumerate(text):
+        x = peq.get(c, 0) | down
+        same = ((up + (x & up)) ^ up) | x
+        rise, fall = down | full & ~(up | same), up & same
+        if rise & top:
+            score += 1
+        elif fall & top:
+            score -= 1
+            if score < best:
+                best, end = score, j + 1
+        rise = rise << 1 & full
+        up, down = (fall << 1 | ~(rise | same)) & full, rise & same
+    return best, end
+
+
 class BenchmarkIndex:
-    """Q-grams of all windows of a block of the benchmark."""
+    """Q-grams of all texts of a block of the benchmark, and their windows."""
 
     def __init__(self, items: list[tuple[int, str | None]]) -> None:
-        self.windows: list[Window] = []
-        seen: dict[bytes, set] = {}
-        for item, text in items:
-            for w in windows_of(item, normal(text)):
-                if item not in seen.setdefault(w.text, set()):
-                    seen[w.text].add(item)
-                    self.windows.append(w)
-        codes = [gram_codes(w.text) for w in self.windows]
+        raws = sorted({(item, normal(text)) for item, text in items})
+        self.short: dict[bytes, list[int]] = {}
+        for item, raw in raws:
+            if 0 < len(raw) < Q:
+                self.short.setdefault(raw, []).append(item)
+        self.short_words = sorted({raw.count(b" ") + 1 for raw in self.short})
+        raws = [(item, raw) for item, raw in raws if len(raw) >= Q]
+        self.items, self.raws = [item for item, _ in raws], [raw for _, raw in raws]
+        windows = [np.array([(w.start, len(w.text), w.edits, w.shared) for w in windows_of(item, raw)], np.int32) for item, raw in raws]
+        self.start, self.size, self.edits, self.shared = np.concatenate([np.empty((0, 4), np.int32), *windows]).T.copy()
+        self.bounds = np.cumsum([0, *map(len, windows)])
+        self.least = np.array([w[:, 3].min() for w in windows], np.int64)
+        codes = [gram_codes(raw) for raw in self.raws]
         every = np.concatenate(codes) if codes else np.empty(0, np.uint64)
-        owner = np.repeat(np.arange(len(codes)), [len(c) for c in codes]).astype(np.int64)
-        place = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.empty(0, np.int64)
+        owner = np.repeat(np.arange(len(codes), dtype=np.int32), [len(c) for c in codes])
+        place = np.concatenate([np.arange(len(c), dtype=np.int32) for c in codes]) if codes else np.empty(0, np.int32)
         order = np.argsort(every, kind="stable")
         self.codes, self.first = np.unique(every[order], return_index=True)
         self.many = np.diff(np.append(self.first, len(every)))
         self.owner, self.place = owner[order], place[order]
-        self.shared = np.array([w.shared for w in self.windows], np.int64)
-        self.edits = np.array([w.edits for w in self.windows], np.int64)
+        self.longest = max(map(len, self.raws), default=0) + 1
         self.bits = max(20, int(len(self.codes) * 64).bit_length())
         self.maybe = np.zeros(1 << self.bits, bool)
         self.maybe[self.codes >> np.uint64(64 - self.bits)] = True
 
+    def short_matches(self, raw: bytes, found: dict[int, list]) -> None:
+        """Adds the items of under Q characters that the text holds as whole words."""
+        words = raw.split() if self.short else []
+        for n in self.short_words:
+            for text in {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} & self.short.keys():
+                start = (b" " + raw + b" ").find(b" " + text + b" ")
+                for item in self.short[text]:
+                    add(found, item, 0, start, start + len(text))
+
     def matches(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
         """(item, windows found, least edits, start, end) for each item of which a window is in the text; places in the normal text."""
-        raw = normal(text)
+        raw, found = normal(text), {}
+        self.short_matches(raw, found)
+        for item, places in self.bands(raw):
+            self.verify(raw, item, places, found)
+        return [(item, *got) for item, got in sorted(found.items())]
+
+    def bands(self, raw: bytes) -> list[tuple[int, list[tuple[int, np.ndarray]]]]:
+        """For each item that shares enough with the text: the bands of diagonals with enough for some window, and their shared places in the item."""
         codes = gram_codes(raw)
         at = np.flatnonzero(self.maybe[codes >> np.uint64(64 - self.bits)])
         if not len(at) or not len(self.codes):
@@ -132,35 +196,44 @@ class BenchmarkIndex:
         n = self.many[slot]
         begin = np.cumsum(n) - n
         within = np.repeat(self.first[slot] - begin, n) + np.arange(n.sum())
-        owner, diagonal = self.owner[within], np.repeat(at, n) - self.place[within]
+        owner, place = self.owner[within].astype(np.int64), self.place[within].astype(np.int64)
+        diagonal = np.repeat(at, n) - place
         # band b holds the diagonals from b * BAND on, and the edits' worth of the next band: overlapping, no place is cut
         band = diagonal // BAND
-        early = diagonal - band * BAND < self.edits[owner]
-        owner, band = np.concatenate([owner, owner[early]]), np.concatenate([band, band[early] - 1])
+        early = diagonal - band * BAND < WINDOW // PER_EDIT
+        owner, place, band = np.concatenate([owner, owner[early]]), np.concatenate([place, place[early]]), np.concatenate([band, band[early] - 1])
         low = band.min()
         width = int(band.max() - low) + 1
-        keys, counts = np.unique(owner * width + (band - low), return_counts=True)
-        keys = keys[counts >= self.shared[keys // width]]
-        found: dict[int, list] = {}
-        done: set[int] = set()
-        for key in keys.tolist():
-            w, diag = self.windows[key // width], int(key % width + low) * BAND
-            if key // width in done:
-                continue
-            lo = max(0, diag - w.edits)
-            region = raw[lo : diag + BAND + len(w.text) + 3 * w.edits]
-            exact = region.find(w.text)
-            if exact >= 0:
-                edits, end = 0, lo + exact + len(w.text)
-            else:
-                edits, end = banded_edits(w.text, region, diag - lo, BAND + w.edits, w.edits)
-                end += lo
-            if edits <= w.edits:
-                done.add(key // width)
-                start = max(0, end - len(w.text))
-                got = found.setdefault(w.item, [0, edits, start, end])
-                got[:] = got[0] + 1, min(got[1], edits), min(got[2], start), max(got[3], end)
-        return [(item, *got) for item, got in sorted(found.items())]
+        rows = np.unique((owner * width + (band - low)) * self.longest + place)
+        keys, first, counts = np.unique(rows // self.longest, return_index=True, return_counts=True)
+        enough = np.flatnonzero(counts >= self.least[keys // width])
+        out: dict[int, list] = {}
+        for key, lo, many in zip(keys[enough].tolist(), first[enough].tolist(), counts[enough].tolist(), strict=True):
+            out.setdefault(key // width, []).append((int(key % width + low) * BAND, rows[lo : lo + many] % self.longest))
+        return list(out.items())
+
+    def verify(self, raw: bytes, item: int, bands: list[tuple[int, np.ndarray]], found: dict[int, list]) -> None:
+        """Adds the windows of one item that the text holds."""
+        lo, hi = self.bounds[item], self.bounds[item + 1]
+        starts, sizes, done = self.start[lo:hi], self.size[lo:hi], np.zeros(hi - lo, bool)
+        for diag, places in bands:
+            held = np.searchsorted(places, starts + sizes - Q + 1) - np.searchsorted(places, starts)
+            for w in np.flatnonzero((held >= self.shared[lo:hi]) & ~done).tolist():
+                start, k = int(starts[w]), int(self.edits[lo + w])
+                part = self.raws[item][start : start + int(sizes[w])]
+                # a match begins in the band or, where edits come before what is shared, up to k diagonals off it
+                left = max(0, diag + start - k)
+                region = raw[left : max(0, diag + start + BAND + len(part) + 3 * k)]
+                exact = region.find(part)
+                edits, end = (0, exact + len(part)) if exact >= 0 else least_edits(part, region) if k else (1, 0)
+                if edits <= k:
+                    done[w] = True
+                    add(found, self.items[item], edits, left + max(0, end - len(part)), left + end)
+
+
+def add(found: dict[int, list], item: int, edits: int, start: int, end: int) -> None:
+    got = found.setdefault(item, [0, edits, start, end])
+    got[:] = got[0] + 1, min(got[1], edits), min(got[2], start), max(got[3], end)
 
 
 def benchmark_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[BenchmarkIndex]:

@@ -94,3 +94,33 @@ def test_short_and_partial(spark):
     half = items[1][1][120:300]
     assert [m[0] for m in index.matches("begin " + half + " end")] == [2]
     assert index.matches("only a brief question here") == []
+
+
+def test_passages_at_every_offset(items):
+    """13 words from every word on, 108 characters from every character on: each is found, as its item."""
+    few = [x for x in items if len(x[1]) > 200][:5] + [(1000, "x" * 5 + "".join(chr(0x4E00 + i * 37 % 5000) for i in range(120))), (1001, " ".join("".join(random.Random(i).choices("abcdefgh", k=25)) for i in range(20)))]
+    index = decontam.BenchmarkIndex(few)
+    for item, text in few:
+        raw = decontam.normal(text)
+        words = raw.decode().split()
+        for i in range(len(words) - 12):
+            assert item in {m[0] for m in index.matches("zq vj " + " ".join(words[i : i + 13]) + " kx wq")}, (item, i)
+        for i in range(len(raw) - 107):
+            part = raw[i : i + 108].decode("utf-8", "ignore")
+            if part.encode() == raw[i : i + 108]:  # no character is cut
+                assert item in {m[0] for m in index.matches("zq " + part + " kx")}, (item, i)
+
+
+def test_edited_passage_off_the_grid(items):
+    """13 words with one wrong letter, which lie across two windows of the grid."""
+    item, text = next(x for x in items if len(x[1]) > 200)
+    words = decontam.normal(text).decode().split()
+    part = " ".join(words[8:21])
+    at = len(part) // 2
+    assert item in {m[0] for m in decontam.BenchmarkIndex([(item, text)]).matches("zq " + part[:at] + "~" + part[at + 1 :] + " kx")}
+
+
+def test_items_shorter_than_a_gram():
+    index = decontam.BenchmarkIndex([(1, "Blue whale?"), (2, ""), (3, "--")])
+    assert index.matches("The blue, WHALE swims") == [(1, 1, 0, 4, 14)]
+    assert index.matches("the blue whales swim") == [] and index.matches("") == []

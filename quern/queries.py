@@ -198,7 +198,7 @@ add_aggregate("agg_filter", "orders", "*", [Load(("__key",)), Filter("@o_totalpr
 add_aggregate("agg_apply_chain", "lineitem", "@l_quantity:[45 inf]", [Load(("__key",)), Apply("@l_extendedprice * (1 - @l_discount)", "net"), Apply("@net * (1 + @l_tax)", "gross"), Filter("@gross > 50000")], f"SELECT {LINE_KEY}, round(l_extendedprice * (1 - l_discount), 6) AS net, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS gross FROM lineitem WHERE l_quantity >= 45 AND l_extendedprice * (1 - l_discount) * (1 + l_tax) > 50000", ("net", "gross"), 6)
 add_aggregate("agg_two_groupbys", "orders", "*", [GroupBy(("o_custkey", "o_orderstatus"), (Reduce("COUNT", (), "n"),)), GroupBy(("o_orderstatus",), (Reduce("MAX", ("@n",), "most"), Reduce("COUNT", (), "customers")))], "SELECT o_orderstatus, CAST(max(n) AS DOUBLE) AS most, CAST(count(*) AS DOUBLE) AS customers FROM (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) GROUP BY o_orderstatus")
 add_aggregate("agg_limit", "orders", "@o_orderstatus:{P}", [Load(("__key",)), Limit(5, 20)], "SELECT 'order:' || o_orderkey AS __key FROM orders WHERE o_orderstatus = 'P' ORDER BY __key LIMIT 20 OFFSET 5")
-add_aggregate("agg_load_all", "orders", "@o_totalprice:[300000 inf]", [Load(None), Limit(0, 50)], None)
+add_aggregate("agg_load_all", "orders", "@o_totalprice:[300000 inf]", [Load(None)], "SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, o_totalprice, o_orderstatus, o_orderpriority, CAST(o_custkey AS DOUBLE) AS o_custkey, CAST(epoch(o_orderdate) AS DOUBLE) AS day, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM orders WHERE o_totalprice >= 300000")
 add_aggregate("agg_default_names", "events", "*", [GroupBy(("event_type",), (Reduce("COUNT"), Reduce("COUNT_DISTINCT", ("@user_id",))))], 'SELECT event_type, CAST(count(*) AS DOUBLE) AS "COUNT()", CAST(count(DISTINCT user_id) AS DOUBLE) AS "COUNT_DISTINCT(@user_id)" FROM events GROUP BY event_type')
 add_aggregate("agg_quantile", "lineitem", "*", [GroupBy(("l_returnflag",), (Reduce("QUANTILE", ("@l_quantity", "0.5"), "q"), Reduce("COUNT_DISTINCTISH", ("@l_linenumber",), "d")))], "SELECT l_returnflag, quantile_disc(l_quantity, 0.5) AS q, CAST(count(DISTINCT l_linenumber) AS DOUBLE) AS d FROM lineitem GROUP BY l_returnflag")
 

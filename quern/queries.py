@@ -125,16 +125,18 @@ _PART_WORDS, _DOC_WORDS = _WORDS.format("p_name"), _WORDS.format("text")
 _DOC_WORDS = _WORDS.format("replace(text, 'ß', 'ss')")
 add_search("text_term", "docs", "@text:idiot", f"SELECT {DOC} FROM documents WHERE list_contains({_DOC_WORDS}, 'idiot')")
 add_search("text_term_part", "part", "@p_name:widget -@p_name:red", f"SELECT {PART} FROM part WHERE list_contains({_PART_WORDS}, 'widget') AND NOT list_contains({_PART_WORDS}, 'red')")
-add_search("text_prefix", "docs", "license*", f"SELECT {DOC} FROM documents WHERE len(list_filter({_DOC_WORDS}, lambda w: starts_with(w, 'license'))) > 0")
+add_search("text_prefix", "docs", "license*", f"SELECT {DOC} FROM documents WHERE len(list_filter({_DOC_WORDS}, lambda w: starts_with(w, 'license'))) > 0", settings=Settings(max_term_expansions=None))
 add_search("text_prefix_uncapped", "docs", "@text:er*", f"SELECT {DOC} FROM documents WHERE len(list_filter({_DOC_WORDS}, lambda w: starts_with(w, 'er'))) > 0", settings=Settings(max_term_expansions=None))
+#: The capped form: of the words that begin so, the first 200 by their spelling count.
+add_search("text_prefix_capped", "docs", "@text:e*", f"WITH d AS (SELECT doc_id, {_DOC_WORDS} AS words FROM documents), w AS (SELECT DISTINCT w FROM (SELECT unnest(words) AS w FROM d) WHERE starts_with(w, 'e') ORDER BY w LIMIT 200) SELECT {DOC} FROM d WHERE list_has_any(words, (SELECT list(w) FROM w))", settings=Settings(max_term_expansions=200))
 add_search("text_suffix", "docs", "@text:*heit", f"SELECT {DOC} FROM documents WHERE len(list_filter({_DOC_WORDS}, lambda w: ends_with(w, 'heit'))) > 0", settings=Settings(max_term_expansions=None))
 add_search("text_phrase", "docs", '"MIT License"', f"SELECT {DOC} FROM documents WHERE contains(' ' || array_to_string({_DOC_WORDS}, ' ') || ' ', ' mit license ')")
 add_search("text_and_or_not", "docs", "(license | token) -@text:mit @lang:{en|fr}", f"SELECT {DOC} FROM documents WHERE (list_contains({_DOC_WORDS}, 'license') OR list_contains({_DOC_WORDS}, 'token')) AND NOT list_contains({_DOC_WORDS}, 'mit') AND lang IN ('en', 'fr')")
 add_search("text_unfielded", "docs", "pathetic", f"SELECT {DOC} FROM documents WHERE list_contains({_DOC_WORDS}, 'pathetic')")
-add_search("text_fuzzy", "docs", "%licence%", f"SELECT {DOC} FROM documents WHERE len(list_filter({_DOC_WORDS}, lambda w: abs(strlen(w) - 7) <= 1 AND damerau_levenshtein(w, 'licence') <= 1)) > 0")
+add_search("text_fuzzy", "docs", "%licence%", f"SELECT {DOC} FROM documents WHERE len(list_filter({_DOC_WORDS}, lambda w: abs(strlen(w) - 7) <= 1 AND damerau_levenshtein(w, 'licence') <= 1)) > 0", settings=Settings(max_term_expansions=None))
 add_search("text_inorder", "docs", "released mit license", f"SELECT {DOC} FROM documents WHERE regexp_matches(' ' || array_to_string({_DOC_WORDS}, ' ') || ' ', ' released (.* )?mit (.* )?license ')", inorder=True)
 add_search("text_slop", "docs", "released license", f"SELECT {DOC} FROM documents WHERE regexp_matches(' ' || array_to_string(list_filter({_DOC_WORDS}, lambda w: w NOT IN ('a','is','the','an','and','are','as','at','be','but','by','for','if','in','into','it','no','not','of','on','or','such','that','their','then','there','these','they','this','to','was','will','with')), ' ') || ' ', ' (released ([^ ]+ ){{0,2}}license|license ([^ ]+ ){{0,2}}released) ')".replace("{{", "{").replace("}}", "}"), slop=2)
-add_search("text_stem", "stems", "licensing", None)
+add_search("text_stem", "stems", "licensing", None, settings=Settings(max_term_expansions=None))
 
 # -- vectors: the query is the vector of vec_id 0
 

@@ -54,3 +54,16 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["text_prefix", "text_fuzzy"])
+def test_no_cap_on_words(spark, tmp_path, name):
+    """Each document holds a word of its own, over 200 in all."""
+    more = "abcdefghijklmnopqrstuvwxyz0123456789"
+    if name == "text_prefix":
+        words = sorted({"license" + x + y for x in more for y in "abcdefg"})
+    else:
+        words = sorted({"licence"[:at] + x + "licence"[at:] for x in more for at in range(8)})
+    spark.createDataFrame([(i, w, "en", "a", len(w)) for i, w in enumerate(words)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len(words) > 200
+    assert {r.key for r in QUERIES[name](spark, str(tmp_path)).collect()} == {f"doc:{i}" for i in range(len(words))}

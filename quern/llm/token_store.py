@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +19,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
+from quern.llm.bpe import byte_symbols
 from quern.llm.common import scratch_path
 
 END_ID = 2
 #: Pre-tokens whose ids a worker keeps; beyond it starts anew.
 CACHE_PIECES = 800_000
 STRIPE_BYTES, ROWS_PER_INDEX = 16 << 20, 1000
+#: Bytes of the table (as Spark estimates them) in a part, where the session's shuffle partitions do not make smaller ones.
+PART_BYTES = 256 << 20
+#: Texts, and characters of them, that are encoded in one go; a longer text makes one of its own.
+RUN_TEXTS, RUN_CHARS = 1000, 32 << 20
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ž"
 #: Texts of these characters alone (space and newline are their only white space) are cut into pre-tokens here, others by the library.
@@ -31,7 +37,6 @@ _PLAIN = re.compile(r"[\n\x20-\x7e\xa1-\xa9\xab\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xb
 #: The byte-level pre-tokenizer's pattern, for texts in which no two characters of white space meet.
 _PIECE = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s")
 
-
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -42,27 +47,42 @@ class CachedEncoder:
     """The tokenizers library behind a cache of pre-tokens, whose ids do not depend on what is around them."""
 
     def __init__(self, path: str) -> None:
-        self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        # the same model over pre-tokens that are set apart by newlines
+        # the file's model over pre-tokens that are cut and written in byte symbols here; the model's own cache only costs time
         self.pieces = Tokenizer.from_file(path)
-        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self._newline = self.library.encode("\n", add_special_tokens=False).ids
-        if len(self._newline) != 1 or self.library.normalizer is not None or not isinstance(self.library.pre_tokenizer, pre_tokenizers.ByteLevel):
+        if self.pieces.normalizer is not None or not isinstance(self.pieces.pre_tokenizer, pre_tokenizers.ByteLevel):
             raise ValueError("the tokenizer is not a byte-level one")
-        self._kept = {"\n": self._direct("\n")}
+        self.pieces.pre_tokenizer = None
+        self.pieces.model._resize_cache(0)
+        self.special = [t.content for t in self.pieces.get_added_tokens_decoder().values()]
+        self.symbols = dict(enumerate(byte_symbols()))
+        vocabulary = self.pieces.get_vocab()
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.lengths[list(vocabulary.values())] = list(map(len, vocabulary))
+        self.path = path
+        self._empty()
+
+    @cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
+    def _empty(self) -> None:
+        self._kept: dict[str, bytes] = {}
+        self._learn([" "])
+        self._kept["\n"] = np.array([self.pieces.token_to_id(self.symbols[10])], "<u4").tobytes()
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encodes pieces in one call and keeps them."""
-        ids = np.array(self.pieces.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-        ends = [*(4 * np.flatnonzero(ids == self._newline[0])).tolist(), 4 * len(ids)]
+        """Encodes pre-tokens, none of which holds a newline, in one call and keeps them."""
+        written = "\n".join(pieces).encode().decode("latin-1").translate(self.symbols).split(self.symbols[10])
+        ids = np.array(self.pieces.encode_batch_fast([written], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+        # where a pre-token ends, one of its tokens does
+        ends = (4 * np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w) for w in written])) + 4).tolist()
         raw, kept, at = ids.tobytes(), self._kept, 0
         for piece, end in zip(pieces, ends, strict=True):
             kept[piece] = raw[at:end]
-            at = end + 4
+            at = end
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
@@ -86,7 +106,7 @@ class CachedEncoder:
             cut.append((i, pieces, ids, gaps))
         if new:
             if len(self._kept) + len(new) > CACHE_PIECES:
-                self._kept = {"\n": self._direct("\n")}
+                self._empty()
             self._learn(list(new))
         for i, pieces, ids, gaps in cut:
             for k in gaps:
@@ -133,11 +153,33 @@ def part_of(doc_id: Column, tie: Column, bounds: list[int]) -> Column:
 FILE_SCHEMA = "doc_id bigint, part int, at bigint, n_tokens bigint, ids array<int>"
 
 
+def runs(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of pieces of a column that hold few texts and few characters, or one long text."""
+    lo, held, size = 0, [], 0
+    for i in range(len(texts)):
+        text = texts[i].as_py()
+        if held and (len(held) >= RUN_TEXTS or size + len(text or "") > RUN_CHARS):
+            yield lo, held
+            lo, held, size = i, [], 0
+        held.append(text)
+        size += len(text or "")
+    if held:
+        yield lo, held
+
+
+def parts_for(docs: DataFrame) -> int:
+    """How many files: the session's shuffle partitions, or more where they would hold over PART_BYTES of the table as Spark estimates it; at most _PRECISION."""
+    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(_PRECISION, max(least, int(str(size)) // PART_BYTES)))
+
+
 def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
     """Writes FILE_SCHEMA rows to the folder `to`: the parts in ascending order, rows within each in ascending doc_id order (null first).
 
-    Rows of one id (or of none), however many, are spread by a hash of their text. A null text is empty:
-    it has the end id alone. Repeated rows are written each; other columns are ignored.
+    Rows of one id (or of none), however many and however alike, are dealt to the parts that their id spans. A
+    null or empty text has the end id alone; a very long one is encoded whole, by itself. Repeated rows are written
+    each; other columns are ignored, whatever their names; an empty table writes no rows. Runs two jobs at once.
     """
     path = path or tokenizer_path()
 
@@ -145,9 +187,8 @@ def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int
         enc, part, at = encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            texts = b.column(1)
-            for lo in range(0, b.num_rows, 1000):  # so that a batch of long texts stays small
-                raw = enc.encode_many(texts.slice(lo, 1000).to_pylist(), end)
+            for lo, texts in runs(b.column(1)):
+                raw = enc.encode_many(texts, end)
                 sizes = np.array([len(x) // 4 for x in raw], np.int64)
                 ends = np.cumsum(sizes)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), "<i4")))
@@ -158,15 +199,15 @@ def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int
                 at += int(ends[-1])
 
     rows = docs.selectExpr(f"cast(`{id_col}` as bigint) AS doc_id", f"`{text_col}` AS text")
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or parts_for(rows)
     # quantiles of the ids alone: a range partitioning of Spark's own would read all texts for its sample
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    bounds = rows.select(F.percentile_approx(key, [i / n for i in range(1, n)], _PRECISION)).first()[0] if n > 1 else None
-    tie = F.xxhash64("text")
+    bounds = rows.select(F.percentile_approx(key, [i / n for i in range(1, n)], max(_PRECISION, n))).first()[0] if n > 1 else None
+    tie = F.xxhash64(F.monotonically_increasing_id())
     ordered = rows.repartitionById(n, part_of(key, tie, list(bounds or []))).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     (
         ordered.mapInArrow(run, FILE_SCHEMA)
-        .write.option("compression", "zstd")
+        .write.option("compression", "none")  # run-length encoded ids hardly shrink
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", str(ROWS_PER_INDEX))
         .option("orc.stripe.size", str(STRIPE_BYTES))
@@ -205,7 +246,7 @@ def token_digests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def store_and_read(docs: DataFrame, **how) -> DataFrame:
-    """write_tokens to the shared folder, then token_digests; an empty table gives no rows."""
+    """write_tokens to the shared folder at once, then token_digests (lazily); odd input as write_tokens has it: every row is returned, and an empty table gives none."""
     spark = docs.sparkSession
     folder = scratch_path(spark, "tokens")
     write_tokens(docs, folder, **how)

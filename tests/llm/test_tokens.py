@@ -101,16 +101,46 @@ def test_store(byte, odd, odd_rows, none, spark, tmp_path):
     assert token_store.store_and_read(none).count() == 0
 
 
-def test_files_have_bloom_filters(documents, tmp_path):
+def stripe_footers(spark, path):
+    """(streams as (kind, column), encodings by column) of each stripe, read by the ORC library."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(path)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    assert reader.getCompressionKind().toString() == "NONE" and reader.getRowIndexStride() == token_store.ROWS_PER_INDEX
+    rows = reader.rows()
+    for stripe in reader.getStripes():
+        footer = rows.readStripeFooter(stripe)
+        yield {(x.getKind().toString(), x.getColumn()) for x in footer.getStreamsList()}, [x.getKind().toString() for x in footer.getColumnsList()]
+
+
+def test_files_have_indexes(spark, documents, tmp_path):
+    """Row indexes in every column, a Bloom filter on doc_id alone, run-length encoding of the second kind."""
     folder = str(tmp_path / "tokens")
     token_store.write_tokens(documents, folder, partitions=2)
-    raw = [p.read_bytes() for p in (tmp_path / "tokens").glob("*.orc")]
-    assert raw and all(b.startswith(b"ORC") for b in raw)
+    files = sorted((tmp_path / "tokens").glob("*.orc"))
+    assert len(files) == 2
     from pyarrow import orc
 
-    rows = [orc.ORCFile(str(p)).read() for p in sorted((tmp_path / "tokens").glob("*.orc"))]
+    rows = [orc.ORCFile(str(p)).read() for p in files]
     ids = [i for t in rows for i in t.column("doc_id").to_pylist()]
     assert ids == sorted(ids) and len(ids) == documents.count()
+    # columns: 0 the row, 1 doc_id, 2 part, 3 at, 4 n_tokens, 5 ids, 6 their elements
+    for p in files:
+        for streams, encodings in stripe_footers(spark, p):
+            assert {c for kind, c in streams if kind == "ROW_INDEX"} == set(range(7))
+            assert {c for kind, c in streams if kind.startswith("BLOOM_FILTER")} == {1}
+            assert encodings[1:] == ["DIRECT_V2"] * 6
+
+
+def test_equal_rows_are_spread(spark, tmp_path):
+    """A hot id, all rows of it alike, does not go to one part."""
+    rows = spark.range(20_000).selectExpr("7L AS doc_id", "'the same' AS text").union(spark.range(2000).selectExpr("id + 100 AS doc_id", "concat('text ', id) AS text"))
+    folder = str(tmp_path / "tokens")
+    token_store.write_tokens(rows, folder, partitions=8)
+    sizes = [r["count"] for r in token_store.read_tokens(spark, folder).groupBy("part").count().collect()]
+    assert sum(sizes) == 22_000 and max(sizes) < 5000
+    starts = [(r.start, r.n_tokens) for r in token_store.token_digests(spark, folder).orderBy("start").collect()]
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 40])

@@ -3,8 +3,10 @@
 A token sequence is the BPE encoding of its text exactly if every two neighbours are
 compatible: encoded together, they stay the two tokens that they are. So for every prefix
 of a piece there is one last token: the one that ends there and is compatible with the last
-token of the prefix before it. An automaton with suffix links gives all tokens that end at a
-position; the tokens found for the prefixes are the back-pointers that yield the ids.
+token of the prefix before it. An automaton with suffix links (of Aho and Corasick, over the
+vocabulary: it finds the same matches as a suffix automaton of each text would, and is built
+once) gives all tokens that end at a position; the tokens found for the prefixes are the
+back-pointers that yield the ids. Decoding starts from the ids alone.
 """
 
 from __future__ import annotations
@@ -179,49 +181,49 @@ class BpeCodec:
         self.decoder = config.get("decoder")
         # the pieces' pattern in explicit classes, which says the same of plain characters
         self.plain_pieces = re.compile(self.pieces.pattern.replace(r"\p{L}", _LETTER).replace(r"\p{N}", _DIGIT).replace(f"[[{_LETTER}]", f"[{_LETTER}"))
+        self._named = {str(i): t for i, t in self.tokens.items()}
         self._ids: dict[str, str] = {}
-        self._texts: dict[str, str] = {}
-
-    def _written(self, ids: list[int]) -> tuple[str, str]:
-        return " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids))
-
 
     def _learn(self, pieces: set[str]) -> None:
         """Encodes pieces in their own characters and keeps what they come to."""
         if len(self._ids) + len(pieces) > CACHE_PIECES:
-            self._ids, self._texts = {}, {}
+            self._ids = {}
         for p in pieces:
-            self._ids[p], self._texts[p] = self._written(self.model.encode_piece(p if p.isascii() else "".join([self.bytes[b] for b in p.encode()])))
+            self._ids[p] = " ".join(map(str, self.model.encode_piece(p if p.isascii() else "".join([self.bytes[b] for b in p.encode()]))))
 
-    def _segment(self, text: str) -> tuple[str, str]:
+    def _segment(self, text: str) -> str:
         if _PLAIN.fullmatch(text):
             pieces = self.plain_pieces.findall(text.lower())
             if new := set(pieces).difference(self._ids):
                 self._learn(new if len(self._ids) + len(new) <= CACHE_PIECES else set(pieces))
-            found = " ".join(map(self._ids.__getitem__, pieces)), " ".join(map(self._texts.__getitem__, pieces))
+            found = " ".join(map(self._ids.__getitem__, pieces))
             for p in new:
                 if len(p) > _LONG:
-                    del self._ids[p], self._texts[p]
+                    del self._ids[p]
             return found
         clean = self.library.normalizer.normalize_str(text)
-        return self._written([i for p, _ in self.library.pre_tokenizer.pre_tokenize_str(clean) for i in self.model.encode_piece(p)])
+        return " ".join([str(i) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(clean) for i in self.model.encode_piece(p)])
 
-    def encode_written(self, text: str | None) -> tuple[str, str]:
-        """(decimal ids, tokens), each joined by one space."""
+    def encode_written(self, text: str | None) -> str:
+        """Decimal ids, joined by one space."""
         text = text or ""
-        if not self.special_split or not any(s in text for s in self.special):
+        if not self.special_split or not any([s in text for s in self.special]):
             return self._segment(text)
-        parts = [(str(self.special[x]), x) if x in self.special else self._segment(x) for x in self.special_split.split(text)]
-        return " ".join([a for a, _ in parts if a]), " ".join([b for a, b in parts if a])
+        parts = [str(self.special[x]) if x in self.special else self._segment(x) for x in self.special_split.split(text)]
+        return " ".join([x for x in parts if x])
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for i in self.encode_written(text)[0].split()]
+        return [int(i) for i in self.encode_written(text).split()]
+
+    def decode_written(self, ids: str) -> str:
+        """The text of decimal ids that are joined by one space."""
+        if self.decoder is None:
+            return " ".join(map(self._named.__getitem__, ids.split()))
+        return self.library.decode([int(i) for i in ids.split()], skip_special_tokens=False)
 
     def decode(self, ids: list[int]) -> str:
         """The tokens joined by one space where the file names no decoder (as here); else what its decoder makes of them."""
-        if self.decoder is None:
-            return " ".join(self.tokens[i] for i in ids)
-        return self.library.decode(ids, skip_special_tokens=False)
+        return self.decode_written(" ".join(map(str, ids)))
 
 
 _CODECS: dict[str, BpeCodec] = {}
@@ -238,10 +240,11 @@ SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 stri
 
 
 def encode_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every whole text encoded, its ids decoded again: token count and digests of ids and decoded text.
+    """Every whole text encoded, and its ids decoded again: token count and digests of ids and decoded text.
 
-    A null text is empty and has no tokens; ids are carried, null or not; repeated rows give
-    repeated rows; other columns are ignored, whatever their names.
+    A null or empty text has no tokens, and its digests are those of the empty string; a very long one is encoded
+    whole; ids are carried, null or not; repeated rows give repeated rows; an empty table gives none; other columns
+    are ignored, whatever their names.
     """
     path = path or tokenizer_path()
 
@@ -250,19 +253,21 @@ def encode_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_
         for b in batches:
             counts, digests, decoded = [], [], []
             for i in range(b.num_rows):
-                ids, tokens = c.encode_written(b.column(1)[i].as_py())
-                if c.decoder is not None:
-                    tokens = c.decode([int(x) for x in ids.split()])
+                ids = c.encode_written(b.column(1)[i].as_py())
                 counts.append(ids.count(" ") + 1 if ids else 0)
                 digests.append(hashlib.sha256(ids.encode()).hexdigest())
-                decoded.append(hashlib.sha256(tokens.encode()).hexdigest())
+                decoded.append(hashlib.sha256(c.decode_written(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.selectExpr(f"cast(`{id_col}` as bigint) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, SCHEMA)
 
 
 def encode_ids(docs: DataFrame, path: str | None = None, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
-    """docs with an array<int> column of ids added (or replaced); all rows stay, a null text gives an empty array."""
+    """docs with an array<int> column of ids added (or replaced, where docs has one of that name).
+
+    All rows stay, repeated ones and null ids too, and all other columns as they are; a null or empty text gives an
+    empty array, a very long one is encoded whole; an empty table stays empty.
+    """
     path = path or tokenizer_path()
     kept = [c for c in docs.columns if c != out_col]
     rows = docs.select(*(f"`{c}`" for c in kept))
@@ -279,7 +284,7 @@ def encode_ids(docs: DataFrame, path: str | None = None, text_col: str = "text",
 
 
 def decode_ids(rows: DataFrame, path: str | None = None, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
-    """rows with the decoded text of an array<int> column added; a null array gives a null."""
+    """rows with the decoded text of an array<int> column added (or replaced); a null array gives a null, an empty one the empty text; all rows and other columns stay."""
     path = path or tokenizer_path()
     kept = [c for c in rows.columns if c != out_col]
     rows = rows.select(*(f"`{c}`" for c in kept))

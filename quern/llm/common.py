@@ -34,16 +34,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset (as in tests) a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a folder of our own if all run on this machine (as in tests), else an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+#: Paths of tables written by this process, in order, for release().
+_WRITTEN: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def scratch_mark() -> int:
+    """How many intermediate tables were begun so far, for release()."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Deletes the intermediate tables begun since a scratch_mark(), but for the one at `keep`; results that read them must have been read or written before."""
+    for path in _WRITTEN[since:]:
+        if path != keep:
+            drop_path(spark, path)
+    _WRITTEN[since:] = [keep] if keep in _WRITTEN[since:] else []
 
 
 #: Rows of a narrow table in one file.
@@ -56,9 +77,12 @@ def few_files(df: DataFrame, rows: int) -> DataFrame:
 
 
 def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """df, written to the shared folder and read back: cuts lineage and survives a lost executor; with rows: see few_files."""
+    """df, written to the shared folder at once and read back: cuts lineage and survives a lost executor; with rows: see few_files."""
+    return materialize_at(df, scratch_path(df.sparkSession, name), rows)
+
+
+def materialize_at(df: DataFrame, path: str, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
-    path = scratch_path(spark, name)
     (df if rows is None else few_files(df, rows)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -45,9 +46,10 @@ class Notice:
         cuts = [len(raw) * i // n for i in range(n + 1)]
         return [(a, raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def pattern(self) -> regex.Pattern:
+    def pattern(self, best: bool) -> regex.Pattern:
+        """Whole words within the allowed edits: the first place that has them, or the one with the fewest."""
         body = "".join(f"(?:{regex.escape(t)}){{e<={k}}}" if k else regex.escape(t) for t, k in self.parts)
-        return regex.compile(f"(?b)(?<![^ ])(?:{body})(?![^ ])".encode())
+        return regex.compile(f"{'(?b)' if best else ''}(?<![^ ])(?:{body})(?![^ ])".encode())
 
 
 #: The notices looked for by default, in the words of the licences themselves.
@@ -76,51 +78,90 @@ _ARROW = pa.schema([
 ])
 
 
+class Finder:
+    """The places of one notice in text that has single spaces around every word.
+
+    From the left on: the first place within the allowed edits, or what overlaps it with the
+    fewest edits; then the same behind it.
+    """
+
+    def __init__(self, notice: Notice) -> None:
+        self.label, self.length, self.edits, self.pieces = notice.label, len(notice.text), notice.edits, notice.pieces()
+        self.first, self.best = notice.pattern(False), notice.pattern(True)
+
+    def reach(self, start: int) -> int:
+        """Before here ends whatever begins at start, or a little later."""
+        return start + self.length + 2 * self.edits + 2
+
+    def best_at(self, joined: bytes, start: int) -> regex.Match:
+        """The best match among those that begin with or soon after the first one, at start; the stretch ends with a word, and begins before one, as the library inserts nothing where a search begins."""
+        return self.best.search(joined, max(0, start - 1), joined.rfind(b" ", start, self.reach(start)))
+
+    def windows(self, joined: bytes) -> list[int]:
+        """Where the notice would begin, judged by the exact pieces, in order."""
+        starts = set()
+        for offset, piece in self.pieces:
+            at = joined.find(piece)
+            while at >= 0:
+                starts.add(at - offset)
+                at = joined.find(piece, at + 1)
+        return sorted(starts)
+
+    def matches(self, joined: bytes) -> Iterator[regex.Match]:
+        pos, starts, at = 0, self.windows(joined), 0
+        while at < len(starts):
+            # the first match begins in the first window that has one, or in one that begins before it
+            found, k = None, at
+            while k < len(starts) and (found is None or starts[k] - self.edits - 1 <= found):
+                lo = max(pos, starts[k] - self.edits - 1)
+                hi = joined.rfind(b" ", lo, self.reach(starts[k])) if lo < self.reach(starts[k]) else -1
+                m = self.first.search(joined, lo, hi) if hi > lo else None
+                if m and (found is None or m.start() < found):
+                    found = m.start()
+                elif found is None:
+                    at = k + 1
+                k += 1
+            if found is None:
+                return
+            best = self.best_at(joined, found)
+            yield best
+            pos = best.end()
+
+
 class Scanner:
     def __init__(self, notices: tuple[Notice, ...] = NOTICES) -> None:
-        self.notices = [(n.label, len(n.text), n.edits, n.pieces(), n.pattern()) for n in notices]
+        self.finders = [Finder(n) for n in notices]
         self.base = [(f" {p} ".encode(), label) for p, label in BASE]
 
     def _fuzzy(self, joined: bytes) -> Iterator[tuple[str, int, int, int, int]]:
         """(label, start, end, errors, notice length) in joined, which has single spaces around every word."""
-        for label, length, edits, pieces, pattern in self.notices:
-            starts = []
-            for offset, piece in pieces:
-                at = joined.find(piece)
-                while at >= 0:
-                    starts.append(at - offset)
-                    at = joined.find(piece, at + 1)
-            windows: list[list[int]] = []
-            for s in sorted(starts):
-                lo, hi = max(0, s - edits - 1), s + length + 2 * edits + 2
-                if windows and lo <= windows[-1][1]:
-                    windows[-1][1] = max(windows[-1][1], hi)
-                else:
-                    windows.append([lo, hi])
-            for lo, hi in windows:
-                for m in pattern.finditer(joined, lo, min(hi, len(joined))):
-                    yield label, m.start(), m.end(), sum(m.fuzzy_counts), length
+        for f in self.finders:
+            for m in f.matches(joined):
+                yield f.label, m.start(), m.end(), sum(m.fuzzy_counts), f.length
 
     def scan(self, text: str | None) -> tuple:
         """One row's values, in the order of SCHEMA without the id."""
         raw = (text or "").encode("utf-8", "replace")
         words = raw.translate(_TABLE).split()
         joined = b" " + b" ".join(words) + b" "
-        places, base = [], set()
+        hits, base = [], set()
         for phrase, label in self.base:
             at = joined.find(phrase)
             while at >= 0:
-                places.append(joined.count(b" ", 0, at))
+                hits.append(at)
                 base.add(label)
                 at = joined.find(phrase, at + 1)
         found = sorted({x for x in self._fuzzy(joined)}, key=lambda x: (x[1], x[0], x[2]))
-        spans, score = [], 1.0 if places else 0.0
+        spans, score = [], 1.0 if hits else 0.0
+        # the space before each word, in order, so that a place is a word's number by one search
+        gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32) if hits or found else None
+        places = np.searchsorted(gaps, hits).tolist() if hits else []
         if found:
             where = [m.span() for m in _WORD.finditer(text)]
             for label, start, end, errors, length in found:
                 score = max(score, 1.0 - errors / length)
                 inner = joined[start:end]
-                first = joined.count(b" ", 0, start) - 1 + (inner[:1] == b" ")
+                first = int(np.searchsorted(gaps, start)) - 1 + (inner[:1] == b" ")
                 last = first + len(inner.split()) - 1
                 a, b = where[first][0], where[last][1]
                 spans.append({"label": label, "start": a, "end": b, "errors": errors, "text": text[a:b]})
@@ -131,9 +172,9 @@ class Scanner:
 def scan_licenses(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licence notices in every whole text: SCHEMA, with a span (code points) for each notice found.
 
-    A null or empty text has no words and the score 0; the id is carried, null or not;
-    repeated rows give repeated rows; other columns are ignored, whatever their names.
-    The score is 1 - edits / length of the best match, 1 where a base phrase stands.
+    A null or empty text has no words and the score 0; a very long one is scanned whole, in time that grows with it;
+    the id is carried, null or not; repeated rows give repeated rows; an empty table gives none; other columns are
+    ignored, whatever their names. Of places of a notice that overlap one counts (see Finder). The score is 1 - edits / length of the best match, 1 where a base phrase stands.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import materialize
+
 #: The multiplier of the 64-bit generator of jump consistent hashing, in 32-bit halves.
 MULTIPLIER = 2862933555777941757
 LOW32 = (1 << 32) - 1
@@ -48,25 +50,31 @@ def jump_shards(key: Column, *counts: int) -> list[Column]:
     return [walk[f"b{n}"].cast("int") for n in counts]
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS) -> DataFrame:
-    """Shard, grown shard (with one shard more) and a gapless slot within the shard for every row.
-
-    Slots: rows are dealt to `blocks` by a hash of id and text, a table of at most
-    n_shards * blocks counts (broadcast: its size is bounded by the parameters) gives each
-    block its first slot, and each block is numbered by id. No task sees a whole shard.
-
-    A null id is the key 0; a null text is empty; repeated rows get slots of their own;
-    other columns are ignored, whatever their names; an empty table gives no rows.
-    """
+def narrow_rows(docs: DataFrame, n_shards: int, id_col: str, text_col: str, blocks: int) -> DataFrame:
+    """Ids, sizes, checksums, shards and numbering blocks: all that is needed of the documents, in one pass without a shuffle."""
     text, key = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(id_col).cast("bigint"), F.lit(0).cast("bigint"))
     shard, grown = jump_shards(F.col("__key"), n_shards, n_shards + 1)
-    rows = docs.select(
+    return docs.select(
         F.col(id_col).alias("doc_id"),
         key.alias("__key"),
         (F.octet_length(text) + F.lit(1)).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(key, text), F.lit(blocks)).cast("int").alias("__block"),
+        F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("__block"),
     ).select("*", shard.alias("shard"), grown.alias("grown_shard"))
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS) -> DataFrame:
+    """Shard, grown shard (with one shard more) and a gapless slot within the shard for every row.
+
+    Slots: the narrow rows are dealt to `blocks` by a hash of id and place in the table (so that rows that are alike
+    part, however many there are) and written once to the shared folder, at once; a table of at most n_shards * blocks
+    counts (broadcast: its size is bounded by the parameters) gives each block its first slot, and each block is
+    numbered by id. No task sees a whole shard, and documents are read once.
+
+    A null id is the key 0; a null or empty text has the size 1; a very long one is hashed whole; repeated rows get
+    slots of their own; other columns are ignored, whatever their names; an empty table gives no rows.
+    """
+    rows = materialize(narrow_rows(docs, n_shards, id_col, text_col, blocks), "shards")
     sizes = rows.groupBy("shard", "__block").agg(F.count(F.lit(1)).alias("__n"))
     first = sizes.selectExpr("shard", "__block", "sum(__n) OVER (PARTITION BY shard ORDER BY __block) - __n AS __first")
     numbered = rows.selectExpr("*", "row_number() OVER (PARTITION BY shard, __block ORDER BY __key, text_crc32, size) - 1 AS __at")

@@ -1,11 +1,12 @@
 """SimHash near-duplicate detection with pivot distance tables.
 
-Two fingerprints within `radius` bits agree in at least three of six blocks of bits, so each
-fingerprint goes to twenty buckets, one for every choice of three blocks, and every link
-lies in some bucket. Within a bucket a table of Hamming distances to many reference
-fingerprints (pivots) is computed; a pair whose distances to some pivot differ by more than
-the radius is discarded by the triangle inequality, and what is left is verified. A bucket
-with too many fingerprints is split into smaller ones in the same way, by further bits.
+Two fingerprints within three bits agree in one of four blocks of bits, so each fingerprint
+goes to four buckets, and every link lies in some bucket. Within a bucket a table of Hamming
+distances to many reference fingerprints (pivots) is computed. In the order of the first
+pivot's distances a fingerprint is paired with those alone that follow within the radius; a
+pair whose distances to some other pivot differ by more is discarded (the triangle
+inequality), and what is left is verified. A bucket with too many fingerprints is split into
+smaller ones in the same way, by further bits.
 """
 
 from __future__ import annotations
@@ -16,8 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,8 +26,10 @@ from quern.llm.components import connected_components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 N_PIVOTS = 24
-#: A bucket with more distinct fingerprints is split by further bits.
-BUCKET_ROWS = 1024
+#: A bucket with more distinct fingerprints is split by further bits, unless its key leaves so few of them free.
+BUCKET_ROWS, FREE_BITS = 1024, 8
+#: (blocks that agree, blocks) of the free bits at each splitting, the last one ever after: with three differing bits one of four blocks agrees, and three of six do.
+DEALS = ((1, 4), (1, 4), (3, 6))
 
 
 def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -66,11 +68,13 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def block_masks(free: list[int]) -> list[int]:
-    """For every choice of three of six blocks of the given bits, the mask of their bits."""
-    cuts = [len(free) * i // 6 for i in range(7)]
+def block_masks(mask: int, deal: tuple[int, int]) -> list[int]:
+    """The masks that add some of the blocks of bits that `mask` leaves free, for every choice of so many blocks."""
+    some, n = deal
+    free = [b for b in range(64) if not mask >> b & 1]
+    cuts = [len(free) * i // n for i in range(n + 1)]
     blocks = [sum(1 << b for b in free[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False)]
-    return [sum(c) for c in combinations(blocks, 3)]
+    return [mask | sum(c) for c in combinations(blocks, some)]
 
 
 def pivots(n: int = N_PIVOTS) -> np.ndarray:
@@ -86,20 +90,24 @@ def bucket_links(bucket: np.ndarray, marks: np.ndarray, radius: int, refs: np.nd
     """
     n = len(marks)
     table = np.bitwise_count(marks[:, None] ^ refs[None, :]).astype(np.int8)
+    order = np.lexsort((table[:, 0], bucket))
+    bucket, marks, table = bucket[order], marks[order], table[order]
+    first = table[:, 0]
     left, right = [], []
     at, step = np.arange(n), 1
     while True:
         at = at[at + step < n]
-        at = at[bucket[at] == bucket[at + step]]
+        # in the order of the first coordinate: who has no partner so far behind has none further behind
+        at = at[(bucket[at] == bucket[at + step]) & (first[at + step] - first[at] <= radius)]
         if not len(at):
             break
         near = at
-        for p in range(len(refs)):  # coordinate by coordinate: a pair goes at the first that differs too much
+        for p in range(1, len(refs)):  # coordinate by coordinate: a pair goes at the first that differs too much
             near = near[np.abs(table[near, p] - table[near + step, p]) <= radius]
             if not len(near):
                 break
-        near = near[np.bitwise_count(marks[near] ^ marks[near + step]) <= radius]
         if len(near):
+            near = near[np.bitwise_count(marks[near] ^ marks[near + step]) <= radius]
             left.append(near)
             right.append(near + step)
         step += 1
@@ -143,34 +151,47 @@ def _links_in_buckets(keyed: DataFrame, radius: int, n_pivots: int) -> DataFrame
     return keyed.repartition("mask", "key").sortWithinPartitions("mask", "key", "fingerprint").select("mask", "key", "fingerprint").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_links(marks: DataFrame, radius: int = RADIUS, n_pivots: int = N_PIVOTS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Links (a, b) that connect just what fingerprints within the radius connect; marks has one row for each distinct fingerprint."""
-    if radius > 3:
-        raise ValueError("three of six blocks agree only up to 3 differing bits")
+def _dealt(rows: DataFrame, deal: tuple[int, int]) -> DataFrame:
+    """(mask, key, fingerprint): (mask, fingerprint) rows dealt to the finer buckets of their masks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finer: dict[int, np.ndarray] = {}
+        for b in batches:
+            masks, marks = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            for m in np.unique(masks).tolist():
+                if m not in finer:
+                    finer[m] = np.array([_signed(x) for x in block_masks(m & (1 << 64) - 1, deal)], np.int64)
+                held = marks[masks == m]
+                for x in finer[m]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), x)), pa.array(held & x), pa.array(held)], names=["mask", "key", "fingerprint"])
 
-    def dealt(rows: DataFrame, masks: Column) -> DataFrame:
-        return rows.select("fingerprint", F.explode(masks).alias("mask")).select("mask", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("key"), "fingerprint")
+    return rows.select("mask", "fingerprint").mapInArrow(run, "mask bigint, key bigint, fingerprint bigint")
 
-    keyed = dealt(marks.select("fingerprint"), F.array(*(F.lit(_signed(m)).cast("bigint") for m in block_masks(list(range(64))))))
-    found = None
+
+def near_links(marks: DataFrame, radius: int = RADIUS, n_pivots: int = N_PIVOTS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Links (a, b) that connect just what fingerprints within the radius connect; marks has one row for each distinct fingerprint.
+
+    Runs a job for each round of splitting at once.
+    """
+    if radius > 3:
+        raise ValueError("blocks agree as DEALS says only up to 3 differing bits")
+    masks = F.array(*(F.lit(_signed(m)).cast("bigint") for m in block_masks(0, DEALS[0])))
+    keyed = marks.select("fingerprint", F.explode(masks).alias("mask")).select("mask", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("key"), "fingerprint")
+    found, n = None, 1
     while True:
-        sizes = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > bucket_rows)
+        sizes = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("__n")).where((F.col("__n") > bucket_rows) & (F.bit_count("mask") < 64 - FREE_BITS))
         if sizes.isEmpty():
             part = _links_in_buckets(keyed, radius, n_pivots)
             return part if found is None else found.unionByName(part)
-        # what large buckets hold is dealt anew by three of six blocks of the bits that their keys leave free; within three such
-        # rounds no bit pattern is left that more than 256 fingerprints share
-        sizes = materialize(sizes, "buckets")
+        # what large buckets hold is dealt anew by the bits that their keys leave free, of which some are fewer each time
+        names = materialize(sizes.groupBy(F.xxhash64("mask", "key").alias("__bucket")).agg(F.sum("__n").alias("__n")), "buckets")
         named = keyed.withColumn("__bucket", F.xxhash64("mask", "key"))
-        names = sizes.groupBy(F.xxhash64("mask", "key").alias("__bucket")).agg(F.sum("__n").alias("__n"))
         held = lookup_join(named, names, "__bucket", "__n", keyed.count())
         small = named.join(names.select("__bucket"), "__bucket", "left_anti")
         part = _links_in_buckets(small.select("mask", "key", "fingerprint"), radius, n_pivots)
         found = part if found is None else found.unionByName(part)
-        seen = [r.mask for r in sizes.select("mask").distinct().collect()]  # twenty masks, or 20 x 20, or 20 x 20 x 20: no more
-        finer = {m: [m | _signed(x) for x in block_masks([b for b in range(64) if not m >> b & 1])] for m in seen}
-        tables = F.create_map(*(x for m, f in finer.items() for x in (F.lit(m), F.array(*map(F.lit, f)))))
-        keyed = materialize(dealt(held, tables[F.col("mask")]).distinct(), "keyed")
+        keyed = materialize(_dealt(held, DEALS[min(n, len(DEALS) - 1)]), "keyed")
+        n += 1
 
 
 def component_table(marks: DataFrame, rows: int, **how) -> DataFrame:
@@ -187,9 +208,10 @@ def component_table(marks: DataFrame, rows: int, **how) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the least doc_id that links reach, itself included) of every row.
 
-    Texts without words, null ones included, have the fingerprint zero and link like any
-    other. Null ids are carried and are no component's least id unless it has no other.
-    Repeated rows are each returned; other columns are ignored; an empty table gives no rows.
+    Texts without words, null and empty ones included, have the fingerprint zero and link like
+    any other; very long ones are hashed whole. Null ids are carried and are no component's
+    least id unless it has no other. Repeated rows are each returned; other columns are
+    ignored, whatever their names; an empty table gives no rows. All but the last join runs at once.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     marks = materialize(with_fingerprints(rows, ["doc_id"]), "marks")
@@ -199,25 +221,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs, of each near-duplicate component the row with the least id alone; all columns stay.
+    """docs, of each near-duplicate component the row with the least id alone; all columns stay, whatever their names.
 
-    Of several rows with that id (repeated rows, or null ids alone), the one with the least
-    hash of its columns stays, the first of equal rows.
+    Of several rows with that id (repeated rows, or null ids alone) the one with the least
+    hash of its columns stays, one of equal rows. Null, empty and very long texts are as in
+    near_duplicates; an empty table stays empty. The rows are written with a number each, so
+    that the last join is on numbers that no two rows share, and no copies ever meet.
     """
     columns = docs.columns
     every = [F.col(f"`{c}`") for c in columns]
-    # a row is known by two hashes of all its columns; equal rows are alike in both (maps, which have no hash, go as text)
+    # maps, which have no hash, go as text
     hashable = [F.to_json(F.struct(c)) if "map<" in kind else c for c, (_, kind) in zip(every, docs.dtypes, strict=True)]
-    h1, h2 = (fresh(docs, n) for n in ("__h1", "__h2"))
-    hashed = docs.withColumn(h1, F.xxhash64(*hashable)).withColumn(h2, F.xxhash64(F.lit(1), *hashable))
-    narrow = hashed.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(h1).alias("__h1"), F.col(h2).alias("__h2"), F.col(text_col).alias("text"))
-    marks = materialize(with_fingerprints(narrow, ["doc_id", "__h1", "__h2"]), "marked")
+    row = fresh(docs, "__row")
+    stored = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    narrow = stored.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(*hashable).alias("__hash"), F.col(row).alias("__row"), F.col(text_col).alias("text"))
+    marks = materialize(with_fingerprints(narrow, ["doc_id", "__hash", "__row"]), "marks")
     n = marks.count()
     joined = lookup_join(marks, component_table(marks, n, **how), "fingerprint", "__n", n)
     # one row for each component, by a partial minimum; a null id comes after all others
-    best = joined.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("__own")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__h1", "__h2")).alias("b"))
-    chosen = best.select(F.col("b.__h1").alias(h1), F.col("b.__h2").alias(h2)).distinct()
-    kept = hashed.join(chosen, [h1, h2], "left_semi")
-    # of rows wholly repeated one stays
-    nth = fresh(hashed, "__nth")
-    return kept.withColumn(nth, F.row_number().over(W.partitionBy(h1, h2).orderBy(F.lit(1)))).where(F.col(nth) == 1).select(*every)
+    best = joined.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("__own")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__hash", "__row")).alias("b"))
+    return stored.join(best.select(F.col("b.__row").alias(row)), row, "left_semi").select(*every)

@@ -32,8 +32,19 @@ def test_shards(odd, none, documents, spark):
 
 
 def test_native(documents):
-    plan = sharding.shard_documents(documents)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+    for df in (sharding.narrow_rows(documents, 8, "doc_id", "text", 1024), sharding.shard_documents(documents)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_equal_rows_are_spread(spark):
+    """Rows alike in id and text share a shard, but no numbering block."""
+    hot = spark.range(20_000).selectExpr("7L AS doc_id", "'the same' AS text")
+    sizes = [r["count"] for r in sharding.narrow_rows(hot, 8, "doc_id", "text", 64).groupBy("shard", "__block").count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 600
+    out = sharding.shard_documents(hot).agg({"slot": "max", "shard": "max"}).first()
+    assert sorted(out.asDict().values()) == sorted([19_999, jump(7, 8)])
+    assert sharding.shard_documents(hot).select("slot").distinct().count() == 20_000
 
 
 def test_even(spark):

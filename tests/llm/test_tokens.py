@@ -29,7 +29,7 @@ def same(word, text):
     ids = word.library.encode(text, add_special_tokens=False).ids
     assert word.encode(text) == ids
     decoded = word.library.decode(ids, skip_special_tokens=False)
-    assert word.decode(ids) == decoded and word.encode_written(text)[1] == decoded
+    assert word.decode(ids) == decoded and word.decode_written(word.encode_written(text)) == decoded
 
 
 def same_bytes(byte, text):

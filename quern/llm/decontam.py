@@ -9,6 +9,9 @@ document minus place in the item). So the q-grams shared with each item are gath
 overlapping bands of diagonals; the windows of which a band holds enough are verified by
 alignment. Texts are compared in lower case, with runs of other characters than letters and
 digits as one space. A benchmark text of under q characters is found as it is, as whole words.
+
+A benchmark of several blocks costs the documents one pass for a table of bits over all its
+q-grams; the blocks are searched in those documents alone that share enough with the table.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import materialize
+
 Q = 12
 #: Windows are this long, begin half as far apart, and allow one edit for so many characters.
 WINDOW, PER_EDIT = 96, 16
@@ -28,8 +33,12 @@ WINDOW, PER_EDIT = 96, 16
 WORDS = 13
 #: Diagonals in a band, besides the overlap of k with the next.
 BAND = 32
-#: The benchmark is broadcast in blocks of about this many bytes of text, each over all documents.
-BLOCK_BYTES = 8 << 20
+#: The benchmark is broadcast in blocks of about this many bytes of text; an index takes about 25 times as much memory.
+BLOCK_BYTES = 4 << 20
+#: Where there are several blocks: bytes of text of which one table of bits (16 for each q-gram) tells the documents that may hold something.
+TABLE_BYTES = 64 << 20
+#: Pairs of places that are looked at together; a text with more is taken in stretches that overlap by more than any window takes.
+PAIRS, STRETCH, OVERLAP = 1 << 18, 512, 128
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -136,6 +145,39 @@ def least_edits(pattern: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
+class BitTable:
+    """Whether a q-gram may be among those added: one bit of 16 for each."""
+
+    def __init__(self, grams: int) -> None:
+        self.bits = max(16, int(grams * 16).bit_length())
+        self.table = np.zeros(1 << self.bits - 3, np.uint8)
+
+    def add(self, codes: np.ndarray) -> None:
+        at = codes >> np.uint64(64 - self.bits)
+        np.bitwise_or.at(self.table, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def holds(self, codes: np.ndarray) -> np.ndarray:
+        at = codes >> np.uint64(64 - self.bits)
+        return (self.table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+@dataclass(frozen=True)
+class Suspicion:
+    """Tells which texts may hold something of a benchmark, from its q-grams alone."""
+
+    table: BitTable
+    least: int
+    short: frozenset[bytes]
+
+    def suspects(self, text: str | None) -> bool:
+        """Whether so many q-grams as the least demanding window asks for lie where one window can take them, or a short item may be there."""
+        raw = normal(text)
+        if self.short and not self.short.isdisjoint(raw.split()):
+            return True
+        at = np.flatnonzero(self.table.holds(gram_codes(raw)))
+        return len(at) >= self.least and bool((at[self.least - 1 :] - at[: len(at) - self.least + 1] < OVERLAP).any())
+
+
 class BenchmarkIndex:
     """Q-grams of all texts of a block of the benchmark, and their windows."""
 
@@ -149,73 +191,113 @@ class BenchmarkIndex:
         raws = [(item, raw) for item, raw in raws if len(raw) >= Q]
         self.items, self.raws = [item for item, _ in raws], [raw for _, raw in raws]
         windows = [np.array([(w.start, len(w.text), w.edits, w.shared) for w in windows_of(item, raw)], np.int32) for item, raw in raws]
-        self.start, self.size, self.edits, self.shared = np.concatenate([np.empty((0, 4), np.int32), *windows]).T.copy()
+        start, size, edits, shared = np.concatenate([np.empty((0, 4), np.int32), *windows]).T
+        self.start, self.size, self.edits, self.shared = start.copy(), size.astype(np.int16), edits.astype(np.int8), shared.astype(np.int16)
         self.bounds = np.cumsum([0, *map(len, windows)])
         self.least = np.array([w[:, 3].min() for w in windows], np.int64)
-        codes = [gram_codes(raw) for raw in self.raws]
-        every = np.concatenate(codes) if codes else np.empty(0, np.uint64)
-        owner = np.repeat(np.arange(len(codes), dtype=np.int32), [len(c) for c in codes])
-        place = np.concatenate([np.arange(len(c), dtype=np.int32) for c in codes]) if codes else np.empty(0, np.int32)
-        order = np.argsort(every, kind="stable")
-        self.codes, self.first = np.unique(every[order], return_index=True)
-        self.many = np.diff(np.append(self.first, len(every)))
-        self.owner, self.place = owner[order], place[order]
-        self.longest = max(map(len, self.raws), default=0) + 1
-        self.bits = max(20, int(len(self.codes) * 64).bit_length())
-        self.maybe = np.zeros(1 << self.bits, bool)
-        self.maybe[self.codes >> np.uint64(64 - self.bits)] = True
-
-    def short_matches(self, raw: bytes, found: dict[int, list]) -> None:
+        del windows, start, size, edits, shared
+        # a place is counted through all texts of the block; where each begins tells whose it is
+        self.offsets = np.cumsum([0, *map(len, self.raws)])
+        codes = np.concatenate([np.empty(0, np.uint64), *map(gram_codes, self.raws)])
+        place = np.concatenate([np.empty(0, np.uint32), *(np.arange(o, o + len(r) - Q + 1, dtype=np.uint32) for o, r in zip(self.offsets.tolist(), self.raws, strict=False))])
+        order = np.argsort(codes, kind="stable")
+        codes, self.place = codes[order], place[order]
+        del order, place
+        new = np.ones(len(codes), bool)
+        new[1:] = codes[1:] != codes[:-1]
+        self.first = np.append(np.flatnonzero(new), len(codes)).astype(np.uint32)
+        self.codes = codes[new]
+        self.maybe = BitTable(len(self.codes))
+        self.maybe.add(self.codes)
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.start, self.size, self.edits, self.shared, self.bounds, self.least, self.offsets, self.place, self.first, self.codes, self.maybe.table)) + sum(map(len, self.raws))
+
+    def short_matches(self, raw: bytes, found: dict) -> None:
         """Adds the items of under Q characters that the text holds as whole words."""
         words = raw.split() if self.short else []
         for n in self.short_words:
             for text in {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} & self.short.keys():
                 start = (b" " + raw + b" ").find(b" " + text + b" ")
                 for item in self.short[text]:
-                    add(found, item, 0, start, start + len(text))
+                    add(found, (item, text), 0, start, start + len(text))
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
-        """(item, windows found, least edits, start, end) for each item of which a window is in the text; places in the normal text."""
-        raw, found = normal(text), {}
+        """(item, windows found, least edits, start, end) for each text of the benchmark of which a window is in the text; the place, in the normal text, of the first window with the least edits."""
+        raw, found, done = normal(text), {}, {}
         self.short_matches(raw, found)
-        for item, places in self.bands(raw):
-            self.verify(raw, item, places, found)
-        return [(item, *got) for item, got in sorted(found.items())]
-
-    def bands(self, raw: bytes) -> list[tuple[int, list[tuple[int, np.ndarray]]]]:
-        """For each item that shares enough with the text: the bands of diagonals with enough for some window, and their shared places in the item."""
+        for item, bands in self.shared_bands(raw):
+            if item not in done:
+                done[item] = np.zeros(self.bounds[item + 1] - self.bounds[item], bool)
+            if not done[item].all():
+                self.verify(raw, item, bands, found, done[item])
+        return [(key[0], *got) for key, got in sorted(found.items())]
+
+    def shared_bands(self, raw: bytes) -> Iterator[tuple[int, list[tuple[int, np.ndarray]]]]:
+        """(item, bands) of the whole text, or of its stretches; a stretch that the text has had before tells nothing new."""
         codes = gram_codes(raw)
-        at = np.flatnonzero(self.maybe[codes >> np.uint64(64 - self.bits)])
+        at = np.flatnonzero(self.maybe.holds(codes))
         if not len(at) or not len(self.codes):
-            return []
+            return
         slot = np.minimum(np.searchsorted(self.codes, codes[at]), len(self.codes) - 1)
         true = self.codes[slot] == codes[at]
         at, slot = at[true], slot[true]
         if not len(at):
-            return []
-        n = self.many[slot]
-        begin = np.cumsum(n) - n
-        within = np.repeat(self.first[slot] - begin, n) + np.arange(n.sum())
-        owner, place = self.owner[within].astype(np.int64), self.place[within].astype(np.int64)
-        diagonal = np.repeat(at, n) - place
-        # band b holds the diagonals from b * BAND on, and the edits' worth of the next band: overlapping, no place is cut
-        band = diagonal // BAND
-        early = diagonal - band * BAND < WINDOW // PER_EDIT
-        owner, place, band = np.concatenate([owner, owner[early]]), np.concatenate([place, place[early]]), np.concatenate([band, band[early] - 1])
-        low = band.min()
-        width = int(band.max() - low) + 1
-        rows = np.unique((owner * width + (band - low)) * self.longest + place)
-        keys, first, counts = np.unique(rows // self.longest, return_index=True, return_counts=True)
-        enough = np.flatnonzero(counts >= self.least[keys // width])
-        out: dict[int, list] = {}
-        for key, lo, many in zip(keys[enough].tolist(), first[enough].tolist(), counts[enough].tolist(), strict=True):
-            out.setdefault(key // width, []).append((int(key % width + low) * BAND, rows[lo : lo + many] % self.longest))
-        return list(out.items())
-
-    def verify(self, raw: bytes, item: int, bands: list[tuple[int, np.ndarray]], found: dict[int, list]) -> None:
-        """Adds the windows of one item that the text holds."""
+            return
+        many = (self.first[slot + 1] - self.first[slot]).astype(np.int64)
+        if many.sum() <= PAIRS:
+            yield from self.bands(at, slot)
+            return
+        seen: set[bytes] = set()
+        for lo in range(0, len(raw), STRETCH):
+            part = raw[lo : lo + STRETCH + OVERLAP]
+            a, b = np.searchsorted(at, [lo, lo + STRETCH + OVERLAP - Q + 1])
+            if a < b and part not in seen:
+                seen.add(part)
+                yield from self.bands(at[a:b], slot[a:b])
+
+    def postings(self, at: np.ndarray, slot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of places in the text and in the block, up to PAIRS or so at once: all, or those in overlapping ranges of the block."""
+        begin, end = self.first[slot].astype(np.int64), self.first[slot + 1].astype(np.int64)
+        total = int((end - begin).sum())
+        step = max(4 * OVERLAP, int(self.offsets[-1] * PAIRS // max(1, total)))
+        for g in range(0, int(self.offsets[-1]), step) if total > PAIRS else (None,):
+            lo, hi = begin, end
+            if g is not None:
+                lo = np.array([x + np.searchsorted(self.place[x:y], g) for x, y in zip(begin.tolist(), end.tolist(), strict=True)], np.int64)
+                hi = np.array([x + np.searchsorted(self.place[x:y], g + step + OVERLAP) for x, y in zip(begin.tolist(), end.tolist(), strict=True)], np.int64)
+            n = hi - lo
+            if n.any():
+                within = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                yield np.repeat(at, n), self.place[within].astype(np.int64)
+
+    def bands(self, at: np.ndarray, slot: np.ndarray) -> Iterator[tuple[int, list[tuple[int, np.ndarray]]]]:
+        """For each item that shares enough with the text at these places: the bands of diagonals with enough for some window, and their shared places in the item."""
+        for text_at, place in self.postings(at, slot):
+            owner = np.searchsorted(self.offsets, place, side="right") - 1
+            diagonal = text_at - (place - self.offsets[owner])
+            # band b holds the diagonals from b * BAND on, and the edits' worth of the next band: overlapping, no place is cut
+            band = diagonal // BAND
+            early = diagonal - band * BAND < WINDOW // PER_EDIT
+            owner, place, band = np.concatenate([owner, owner[early]]), np.concatenate([place, place[early]]), np.concatenate([band, band[early] - 1])
+            low = band.min()
+            order = np.lexsort((place, band, owner))
+            owner, place, band = owner[order], place[order], band[order] - low
+            new = np.ones(len(owner), bool)  # a band counts a place once
+            new[1:] = (owner[1:] != owner[:-1]) | (band[1:] != band[:-1]) | (place[1:] != place[:-1])
+            owner, place, band = owner[new], place[new], band[new]
+            first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (band[1:] != band[:-1])]))
+            counts = np.diff(np.append(first, len(owner)))
+            out: dict[int, list] = {}
+            for k in np.flatnonzero(counts >= self.least[owner[first]]).tolist():
+                lo, item = int(first[k]), int(owner[first[k]])
+                out.setdefault(item, []).append((int(band[lo] + low) * BAND, place[lo : lo + int(counts[k])] - self.offsets[item]))
+            yield from out.items()
+
+    def verify(self, raw: bytes, item: int, bands: list[tuple[int, np.ndarray]], found: dict, done: np.ndarray) -> None:
+        """Adds the windows of one item that the text holds; done: those found already."""
         lo, hi = self.bounds[item], self.bounds[item + 1]
-        starts, sizes, done = self.start[lo:hi], self.size[lo:hi], np.zeros(hi - lo, bool)
+        starts, sizes = self.start[lo:hi], self.size[lo:hi]
         for diag, places in bands:
             held = np.searchsorted(places, starts + sizes - Q + 1) - np.searchsorted(places, starts)
             for w in np.flatnonzero((held >= self.shared[lo:hi]) & ~done).tolist():
@@ -228,56 +310,131 @@ class BenchmarkIndex:
                 edits, end = (0, exact + len(part)) if exact >= 0 else least_edits(part, region) if k else (1, 0)
                 if edits <= k:
                     done[w] = True
-                    add(found, self.items[item], edits, left + max(0, end - len(part)), left + end)
+                    add(found, (self.items[item], self.raws[item]), edits, left + max(0, end - len(part)), left + end)
 
 
-def add(found: dict[int, list], item: int, edits: int, start: int, end: int) -> None:
-    got = found.setdefault(item, [0, edits, start, end])
-    got[:] = got[0] + 1, min(got[1], edits), min(got[2], start), max(got[3], end)
+def add(found: dict, key: tuple[int, bytes], edits: int, start: int, end: int) -> None:
+    got = found.setdefault(key, [0, edits, start, end])
+    got[0] += 1
+    got[1:] = min(got[1:], [edits, start, end])
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[BenchmarkIndex]:
-    """An index for each block of about block_bytes; items without a text or an id are left out."""
-    rows = benchmark.select(F.col(item_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
-    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = 1 + size // block_bytes
-    for k in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        yield BenchmarkIndex([(r.i, r.t) for r in part.orderBy("i", "t").collect()])
+def _rows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, item_id, n_windows, edits, start, end for every document and benchmark item of which a window is in the whole text.
+class Blocks:
+    """The benchmark in blocks of about block_bytes of text each; items without a text or an id are left out."""
 
-    Start and end are byte places in the normal text. Null and empty texts match nothing;
-    null ids are carried; repeated rows are each returned; other columns are ignored; an
-    empty benchmark or table gives no rows.
-    """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    names = ["doc_id", "item_id", "n_windows", "edits", "start", "end"]
-    out = None
-    for index in benchmark_blocks(benchmark, text_col="text", block_bytes=block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    def __init__(self, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, table_bytes: int = TABLE_BYTES) -> None:
+        self.rows = _rows(benchmark, item_col, text_col)
+        size = self.rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+        self.n, self.per_table = 1 + size // block_bytes, max(1, table_bytes // block_bytes)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                got = [(b.column(0)[i].as_py(), *m) for i in range(b.num_rows) for m in shared.value.matches(b.column(1)[i].as_py())]
-                yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in range(6)], names=names)
+    def items(self, k: int) -> list[tuple[int, str]]:
+        part = self.rows if self.n == 1 else self.rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(self.n)) == k)
+        return [(r.i, r.t) for r in part.orderBy("i", "t").collect()]
 
-        part = rows.mapInArrow(run, ", ".join(f"`{n}` bigint" for n in names))
-        out = part if out is None else out.unionByName(part)
-    return out
+    def groups(self) -> Iterator[list[int]]:
+        """The blocks that share a table."""
+        for lo in range(0, self.n, self.per_table):
+            yield list(range(lo, min(self.n, lo + self.per_table)))
+
+    def suspicion(self, blocks: list[int], block_bytes: int) -> Suspicion:
+        """What all of these blocks have in common documents by; one block's texts at a time are on the driver."""
+        table, least, short = BitTable(len(blocks) * block_bytes), OVERLAP, set()
+        for k in blocks:
+            for _, text in self.items(k):
+                raw = normal(text)
+                if len(raw) >= Q:
+                    table.add(gram_codes(raw))
+                    least = min(least, *(w.shared for w in windows_of(0, raw)))
+                elif raw:
+                    short.add(raw.split()[0])
+        return Suspicion(table, least, frozenset(short))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs without those that hold a window of the benchmark; all columns stay."""
-    at, out = docs.columns.index(text_col), docs
-    for index in benchmark_blocks(benchmark, block_bytes=block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+def _filtered(docs: DataFrame, at: int, keep) -> DataFrame:
+    """The documents whose text (the column at `at`) passes."""
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array([not shared.value.matches(b.column(at)[i].as_py()) for i in range(b.num_rows)], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([keep(b.column(at)[i].as_py()) for i in range(b.num_rows)], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _searched(rows: DataFrame, index: BenchmarkIndex) -> DataFrame:
+    """(doc_id, __row, item_id, n_windows, edits, start, end) of (doc_id, __row, text) rows."""
+    shared, names = rows.sparkSession.sparkContext.broadcast(index), ["doc_id", "__row", "item_id", "n_windows", "edits", "start", "end"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):  # a text at a time, as there may be many items in each
+                if got := shared.value.matches(b.column(2)[i].as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([b.column(c)[i].as_py()] * len(got), pa.int64()) for c in (0, 1)] + [pa.array([g[k] for g in got], pa.int64()) for k in range(5)], names=names)
+
+    return rows.mapInArrow(run, ", ".join(f"`{n}` bigint" for n in names))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, table_bytes: int, item_col: str, item_text_col: str) -> DataFrame:
+    blocks = Blocks(benchmark, item_col, item_text_col, block_bytes, table_bytes)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("__row"), F.col(text_col).alias("text"))
+    if blocks.n == 1:
+        return _searched(rows, BenchmarkIndex(blocks.items(0)))
+    out = None
+    for group in blocks.groups():
+        shared = docs.sparkSession.sparkContext.broadcast(blocks.suspicion(group, block_bytes))
+        suspects = materialize(_filtered(rows, 2, lambda t, shared=shared: shared.value.suspects(t)), "suspects")
+        for k in group:
+            part = _searched(suspects, BenchmarkIndex(blocks.items(k)))
+            out = part if out is None else out.unionByName(part)
     return out
+
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, table_bytes: int = TABLE_BYTES, item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """One row for every document that holds a window of the benchmark: doc_id, n_items and n_windows (texts of the benchmark, and windows of them, that it holds), and of the one with the least edits, then the least id: item_id, edits, start, end.
+
+    Start and end are byte places in the normal text. Null and empty texts match nothing; very
+    long ones are searched whole, repetitive ones in bounded memory; null ids are carried;
+    repeated rows are each returned; other columns are ignored, whatever their names. Items
+    without an id or a text match nothing, repeated ones count once; an empty benchmark or
+    table gives no rows. The benchmark is read, and if it is large its suspects written, at once.
+    """
+    found = _found(docs, benchmark, id_col, text_col, block_bytes, table_bytes, item_col, item_text_col)
+    # a document's rows come from few tasks and are few; the sums are partial before they are shuffled
+    best = F.min(F.struct("edits", "item_id", "start", "end"))
+    return found.groupBy("doc_id", "__row").agg(F.count(F.lit(1)).alias("n_items"), F.sum("n_windows").alias("n_windows"), best.alias("b")).select("doc_id", "n_items", "n_windows", "b.item_id", "b.edits", "b.start", "b.end")
+
+
+def contaminating(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, table_bytes: int = TABLE_BYTES, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The other side of contaminated: item_id, n_docs (rows that hold a window of it) and edits (the least) of every item found."""
+    found = _found(docs, benchmark, id_col, text_col, block_bytes, table_bytes, item_col, item_text_col)
+    return found.groupBy("item_id").agg(F.count_distinct("__row").alias("n_docs"), F.min("edits").alias("edits"))
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES, table_bytes: int = TABLE_BYTES, item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """docs without those that hold a window of the benchmark; all columns stay, whatever their names.
+
+    Null and empty texts stay; null ids and repeated rows are judged like others, very long texts whole; an empty
+    benchmark drops nothing, an empty table stays empty. The benchmark is read at once.
+    """
+    blocks, at, context = Blocks(benchmark, item_col, item_text_col, block_bytes, table_bytes), docs.columns.index(text_col), docs.sparkSession.sparkContext
+
+    def without(rows: DataFrame, k: int) -> DataFrame:
+        index = context.broadcast(BenchmarkIndex(blocks.items(k)))
+        return _filtered(rows, at, lambda t: not index.value.matches(t))
+
+    if blocks.n == 1:
+        return without(docs, 0)
+    for group in blocks.groups():
+        shared = context.broadcast(blocks.suspicion(group, block_bytes))
+        clean, rest = _filtered(docs, at, lambda t, s=shared: not s.value.suspects(t)), _filtered(docs, at, lambda t, s=shared: s.value.suspects(t))
+        for k in group:
+            rest = without(rest, k)
+        docs = clean.unionByName(rest)
+    return docs

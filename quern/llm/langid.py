@@ -22,7 +22,11 @@ TRAIN_DOCS = 12_000
 BUCKETS = 1 << 16
 #: Share of the pooled trigrams in every language's model.
 SMOOTH = 0.05
-ROUNDS, PENALTY = 25, 3.0
+PENALTY = 3.0
+#: Expectation-maximisation goes on until the log-likelihood is proven to be within this share of the penalty of its maximum.
+GAP = 0.02
+#: Languages at most: the models are a dense table of so many by BUCKETS.
+MAX_LANGS = 1000
 
 _LETTERS: np.ndarray | None = None
 
@@ -56,17 +60,20 @@ class MixtureModel:
         share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
         self.p = np.ascontiguousarray(((1 - SMOOTH) * share + SMOOTH * (share.mean(axis=0) if langs else 0)).T)
 
-    def _fit(self, p: np.ndarray, n: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
-        """Proportions, and the log-likelihood, by expectation-maximisation."""
+    def _fit(self, p: np.ndarray, n: np.ndarray, start: np.ndarray, gap: float) -> tuple[np.ndarray, float]:
+        """Proportions, and the log-likelihood, by expectation-maximisation.
+
+        The likelihood is concave: its gradient bounds what any other proportions can gain, and
+        the rounds end when that is below gap. Every round gains, so they do end.
+        """
         mix, total = start, n.sum()
-        for _ in range(ROUNDS):
+        while True:
             joint = p @ mix
-            new = mix * (p.T @ (n / joint)) / total
-            done = np.abs(new - mix).max() < 1e-3
-            mix = new
-            if done:
-                break
-        return mix, float(n @ np.log(p @ mix))
+            gain = p.T @ (n / joint)
+            if gain.max() - total <= gap:
+                return mix, float(n @ np.log(joint))
+            mix = np.maximum(mix * gain / total, 1e-12)  # so that none is lost to rounding
+            mix /= mix.sum()
 
     def infer(self, text: str | None) -> dict[str, float] | None:
         """The selected languages' proportions, or None if the text is null, has no letter or shares no trigram with the training texts."""
@@ -86,13 +93,14 @@ class MixtureModel:
         if (n @ (p / p[:, [best]]) - n.sum()).max() <= penalty:
             return {self.langs[best]: 1.0}
         kept = np.arange(len(self.langs))
-        mix, fit = self._fit(p, n, np.full(len(kept), 1 / len(kept)))
+        gap = GAP * penalty
+        mix, fit = self._fit(p, n, np.full(len(kept), 1 / len(kept)), gap)
         while len(kept) > 1:
             rest = np.delete(np.arange(len(kept)), mix.argmin())
             if len(rest) == 1:
                 mix_rest, fit_rest = np.ones(1), float(alone[kept[rest[0]]])
             else:
-                mix_rest, fit_rest = self._fit(p[:, kept[rest]], n, (mix[rest] + 1e-6) / (mix[rest] + 1e-6).sum())
+                mix_rest, fit_rest = self._fit(p[:, kept[rest]], n, (mix[rest] + 1e-6) / (mix[rest] + 1e-6).sum(), gap)
             if fit - fit_rest > penalty:
                 break
             kept, mix, fit = kept[rest], mix_rest, fit_rest
@@ -110,7 +118,7 @@ class MixtureModel:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = TRAIN_DOCS) -> MixtureModel:
     """Counts trigrams by language over at most max_docs documents outside fold 1 that have a text and a language.
 
-    No such documents: a model without languages, which predicts `und`.
+    No such documents: a model without languages, which predicts `und`. Over MAX_LANGS languages are an error. Runs its jobs at once.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where((text_fold(F.col("i")) != 1) & F.col("l").isNotNull() & F.col("t").isNotNull())
     order = F.xxhash64(F.col("i"), F.col("l"))
@@ -130,6 +138,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     counted = rows.where(order <= bar).select("l", "t").mapInArrow(run, "l string, g bigint, n bigint").groupBy("l", "g").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counted["l"].unique())
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"{len(langs)} languages to learn, {MAX_LANGS} at most")
     counts = np.zeros((len(langs), BUCKETS))
     counts[counted["l"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), counted["g"].to_numpy(int)] = counted["n"]
     return MixtureModel(langs, counts)
@@ -138,9 +148,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def identify_languages(docs: DataFrame, model: MixtureModel | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score and mixture (language: share) of every whole text.
 
-    `und` with score 0 where the text is null or has no letter. Ids are carried, null or not
-    (a null id is not held out of training, nor is it an input); repeated rows are each
-    returned; other columns are ignored, whatever their names.
+    `und` with score 0 where the text is null or empty or has no letter; a very long text counts
+    whole. Of equal shares the name that sorts first wins. Ids are carried, null or not (a null
+    id is not held out of training, nor is it an input); repeated rows are each returned; an
+    empty table gives no rows; other columns are ignored, whatever their names.
     """
     model = model or train(docs, id_col, text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -156,7 +167,11 @@ def identify_languages(docs: DataFrame, model: MixtureModel | None = None, id_co
 
 
 def keep_identified(docs: DataFrame, model: MixtureModel | None = None, least_score: float = 0.4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without those that are `und` or whose main language has a share below least_score; all columns stay."""
+    """docs without those that are `und` (null, empty or letterless texts) or whose main language has a share below least_score.
+
+    All columns stay, whatever their names; null ids and repeated rows are judged like others, very long texts whole;
+    an empty table stays empty. Without a model one is trained at once.
+    """
     model = model or train(docs, id_col, text_col, lang_col)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 

@@ -31,7 +31,7 @@ STATS = (
 _UPPER = bytes(range(65, 91))
 _DIGIT = bytes(range(48, 58))
 _SYMBOL = bytes(b for b in range(33, 127) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122) and b not in b".,'\"!|")
-#: Words in a stretch; a text's peaks are the largest shares among its stretches.
+#: Words in a stretch; a text's peaks are the largest shares among its stretches, the last of which ends with the text.
 STRETCH = 40
 
 
@@ -54,9 +54,8 @@ def statistics(text: str | None) -> list[float]:
     lines = [x for x in raw.split(b"\n") if x]
     symbols = upper_peak = symbol_peak = repeat_peak = shout = 0.0
     for lo in range(0, m, STRETCH):
+        lo = max(0, min(lo, m - STRETCH))
         part = words[lo : lo + STRETCH]
-        if len(part) < STRETCH // 2 and lo:
-            break
         joined = b" ".join(part)
         upper_peak = max(upper_peak, _share_in(joined, _UPPER) / len(joined))
         symbol_peak = max(symbol_peak, (_share_in(joined, _SYMBOL) + joined.count(b"!") + joined.count(b"|")) / len(joined))
@@ -207,8 +206,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score_quality(docs: DataFrame, labels: DataFrame, model: RuleEnsemble | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted of every whole text.
 
-    Null and empty texts have statistics of zero and are scored like others. Ids are carried,
-    null or not; repeated rows are each returned; other columns are ignored, whatever their names.
+    Null and empty texts have statistics of zero and are scored like others; very long ones
+    count whole. Texts with equal statistics have equal scores, and a score of just 0.5 is
+    predicted 1. Ids are carried, null or not; repeated rows are each returned; an empty table
+    gives no rows; other columns are ignored, whatever their names. Without a model one is
+    trained at once; without labels it is a constant.
     """
     model = model or train(docs, labels, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))

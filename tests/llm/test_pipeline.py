@@ -26,7 +26,7 @@ def test_against_plain_stages(spark):
     bad = {i for i in kept if index.matches(rows[i])}
     for i in sorted(bad)[:3]:
         assert contaminated_by(items, rows[i])
-    markov, word = secret_scan.train(), bpe.codec(bpe.tokenizer_path())
+    markov, word = secret_scan.train(spark.createDataFrame([(rows[i],) for i in kept - bad], "text string")), bpe.codec(bpe.tokenizer_path())
     want = set()
     for i in kept - bad:
         text = secret_scan.redact(rows[i], secret_scan.find_secrets(rows[i], markov, secret_scan.THRESHOLD)[1], "[SECRET]")

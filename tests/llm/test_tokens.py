@@ -106,7 +106,7 @@ def stripe_footers(spark, path):
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(path)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
-    assert reader.getCompressionKind().toString() == "NONE" and reader.getRowIndexStride() == token_store.ROWS_PER_INDEX
+    assert reader.getCompressionKind().toString() == "ZSTD" and reader.getRowIndexStride() == token_store.ROWS_PER_INDEX
     rows = reader.rows()
     for stripe in reader.getStripes():
         footer = rows.readStripeFooter(stripe)

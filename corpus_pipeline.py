@@ -13,7 +13,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import bpe, decontam, langid, secret_scan, simhash
-from quern.llm.common import materialize, ready, table
+from quern.llm.common import materialize_at, ready, release, scratch_mark, scratch_path, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -29,31 +29,51 @@ def _stage(f: Stage) -> Stage:
 
 @_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in which no language has a fair share, go."""
+    """Documents without a letter (null and empty texts too), or in which no language has a fair share, go.
+
+    Null ids, repeated rows and other columns, whatever their names, stay with their text; a very
+    long text is judged whole; of equal shares the language that sorts first counts; an empty table stays empty.
+    """
     return langid.keep_identified(docs)
 
 
 @_stage
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays."""
+    """Of each group of near-duplicates the document with the least id stays; of ties and repeated rows one.
+
+    Null and empty texts are a group; a null id stays where its group has no other; very long
+    texts are hashed whole; other columns stay, whatever their names; an empty table stays empty.
+    """
     return simhash.keep_one_of_each(docs)
 
 
 @_stage
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark, perhaps edited, go."""
+    """Documents that hold a passage of the benchmark, perhaps edited, go.
+
+    Null and empty texts, and all rows of an empty benchmark's documents, stay; null ids and repeated
+    rows are judged by their texts, very long ones whole; other columns stay; an empty table stays empty.
+    """
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 @_stage
 def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets become a mark; n_chars follows where the text changes."""
+    """Secrets become a mark; n_chars follows where the text changes, in its own type.
+
+    All rows and columns stay, with null ids, repeated rows, null and empty texts; very long texts are
+    searched whole; an empty table stays empty.
+    """
     return secret_scan.redact_secrets(docs, count_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 @_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text that is left."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text that is left.
+
+    Null and empty texts have no tokens, very long ones are encoded whole; null ids and repeated
+    rows are each returned, other columns are not; an empty table gives no rows.
+    """
     return bpe.encode_digests(docs)
 
 
@@ -70,8 +90,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written as Parquet and read again for the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of sf_dir, each written as Parquet and read again for the next; what is read no more is deleted."""
+    docs, begun = table(spark, sf_dir, "documents"), scratch_mark()
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        kept = scratch_path(spark, name)
+        docs = materialize_at(stage(spark, docs, sf_dir), kept)
+        release(spark, begun, keep=kept)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -69,7 +69,7 @@ class Engine:
         """One row of counts: documents, field values (records), words and distinct words, and for each field the documents that have it."""
         schema, rows = self.index(name).schema, self.prepared(name)
         texts = [F.col(f"`{f.column}`") for f in schema.of_kind(TEXT)]
-        have = {f.alias: F.count(F.col(f"`{f.column}`")) for f in schema.fields}
+        have = {f.alias: F.count(F.when(F.size(c) > 0, c) if f.kind == TAG else c) for f in schema.fields for c in (F.col(f"`{f.column}`"),)}
         words = F.sum(sum((F.coalesce(F.size(t), F.lit(0)) for t in texts), F.lit(0)).cast("bigint")) if texts else F.lit(0).cast("bigint")
         tags = [F.coalesce(F.sum(F.size(F.col(f"`{f.column}`"))), F.lit(0)).cast("bigint").alias(f"{f.alias}_tags") for f in schema.of_kind(TAG)]
         vectors = [F.lit(f.dim).alias(f"{f.alias}_dim") for f in schema.of_kind(VECTOR)]

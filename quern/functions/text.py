@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -179,3 +180,56 @@ def within_column(word: Column, target: str, limit: int) -> Column:
         return words.map(lambda w: osa_within(w.encode(), goal, limit))
 
     return near(word)
+
+
+def words_column(words: Column, test: Callable[[str], bool]) -> Column:
+    """Of an array of words those that pass, in Python; few words should get here."""
+
+    @F.pandas_udf("array<string>")
+    def passing(lists: pd.Series) -> pd.Series:
+        known: dict[str, bool] = {}
+
+        def passes(w: str) -> bool:
+            if w not in known:
+                known[w] = test(w)
+            return known[w]
+
+        return lists.map(lambda ws: [w for w in ws if passes(w)] if ws is not None and len(ws) else [])
+
+    return passing(words)
+
+
+def any_order(parts: list[list[tuple[int, int]]], slop: int) -> list[tuple[int, int]]:
+    """Where all parts stand in some order, one after the other, with at most slop words between the first's beginning and the last's besides theirs.
+
+    parts: each one's (beginning, end) places. For each beginning the earliest end: over the
+    places from there on in order, for every set of parts that can be placed so far, the least end.
+    """
+    places = sorted((s, e, k) for k, part in enumerate(parts) for s, e in part)
+    every, out = (1 << len(parts)) - 1, {}
+    for i, (start, end, k) in enumerate(places):
+        ends = {1 << k: end}
+        for s, e, j in places[i + 1 :]:
+            if s > start + slop + len(parts) - 1:
+                break
+            for held, last in list(ends.items()):
+                if not held >> j & 1 and s > last and e < ends.get(held | 1 << j, e + 1):
+                    ends[held | 1 << j] = e
+        if every in ends:
+            out[start] = min(ends[every], out.get(start, ends[every]))
+    return sorted(out.items())
+
+
+def any_order_column(parts: list[Column], slop: int) -> Column:
+    """any_order() of arrays of (s, e) structs."""
+
+    @F.pandas_udf("array<struct<s:int,e:int>>")
+    def near(*columns: pd.Series) -> pd.Series:
+        def of(row: tuple) -> list[dict]:
+            lists = [() if x is None else x for x in row]
+            places = [list(zip(map(int, lists[i]), map(int, lists[i + 1]), strict=True)) for i in range(0, len(lists), 2)]
+            return [{"s": s, "e": e} for s, e in any_order(places, slop)] if all(places) else []
+
+        return pd.Series([of(r) for r in zip(*columns, strict=True)])
+
+    return near(*(c for p in parts for c in (F.transform(p, lambda x: x["s"]), F.transform(p, lambda x: x["e"]))))

@@ -1,7 +1,8 @@
-"""Filter trees to boolean columns that are never null."""
+"""Filter trees to boolean columns: true where a row matches, false or null where it does not."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 from itertools import permutations
@@ -10,32 +11,44 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import stem, stem_column, within_column
+from quern.functions.text import any_order_column, osa_within, stem, stem_column, within_column, words_column
 from quern.plans.filters import And, MatchAll, Node, Not, NumericRange, Or, Tags, Word
-from quern.plans.schema import IndexSchema, Settings
+from quern.plans.schema import Field, IndexSchema, Settings
+from quern.sources.prepare import is_path, raw_value
 
-#: Unordered proximity tries every order of up to so many words, and a sliding range beyond.
+#: Unordered proximity is written out as every order of up to so many words.
 MAX_ORDERS = 4
+#: Bounds from here on are compared as doubles, as integers are then no longer exact in them.
+_EXACT = float(1 << 53)
+#: A tag field's raw text is tested first for up to so many tags.
+_HINTS = 16
 
 
 class FilterCompiler:
-    """Compiles a tree for one prepared table. Words that need the vocabulary (stems, edit distances, capped expansions) read it once each."""
+    """Compiles a tree for one prepared table.
+
+    `rows` is that table, with a column more for each stem or edit distance: the words of the
+    row that match. Where a cap on expansions is set, the vocabulary is read once for each
+    such word while the query is compiled.
+    """
 
     def __init__(self, schema: IndexSchema, settings: Settings, rows: DataFrame) -> None:
         self.schema, self.settings, self.rows = schema, settings, rows
-        self._words: dict[tuple, list[str]] = {}
+        self._words: dict[tuple, list[str] | None] = {}
+        self._names: dict[tuple, str] = {}
 
     def column(self, node: Node) -> Column:
         if isinstance(node, MatchAll):
             return F.lit(True)
         if isinstance(node, NumericRange):
-            return F.coalesce(self._range(node), F.lit(False))
+            return self._range(node)
         if isinstance(node, Tags):
-            return F.coalesce(self._tags(node), F.lit(False))
+            return self._tags(node)
         if isinstance(node, Word):
             return reduce(or_, (self._holds(node, f) for f in node.fields))
         if isinstance(node, Not):
-            return ~self.column(node.child)
+            # a complement needs a plain false; elsewhere a null is as good, and leaves comparisons bare for the scan
+            return ~F.coalesce(self.column(node.child), F.lit(False))
         if isinstance(node, Or):
             return reduce(or_, map(self.column, node.children))
         found = reduce(and_, map(self.column, node.children))
@@ -45,19 +58,37 @@ class FilterCompiler:
     def _column(self, alias: str) -> Column:
         return F.col(f"`{self.schema.field(alias).column}`")
 
+    def _raw(self, field: Field) -> tuple[Column, str]:
+        """A field's own column and type; a path into JSON counts as having none."""
+        return (F.lit(None), "") if is_path(self.schema, field) else raw_value(self.rows, self.schema, field)
+
     @staticmethod
     def _begins(prefix: str) -> Callable[[Column], Column]:
         return lambda t: t.startswith(prefix)
 
     def _range(self, node: NumericRange) -> Column:
-        c = self._column(node.field)
+        """Bare comparisons of the stored column where it is a number, which the scan can use."""
+        field = self.schema.field(node.field)
+        raw, kind = self._raw(field)
+        if kind in ("tinyint", "smallint", "int", "bigint") and all(math.isinf(x) or abs(x) < _EXACT for x in (node.low, node.high)) and node.low < math.inf and node.high > -math.inf:
+            tests = []
+            if node.low > -math.inf:
+                tests.append(raw >= (math.floor(node.low) + 1 if node.low_open else math.ceil(node.low)))
+            if node.high < math.inf:
+                tests.append(raw <= (math.ceil(node.high) - 1 if node.high_open else math.floor(node.high)))
+            return reduce(and_, tests) if tests else raw.isNotNull()
+        stored = kind in ("float", "double")
+        c = raw if stored else self._column(node.field)
         low = c > node.low if node.low_open else c >= node.low
         high = c < node.high if node.high_open else c <= node.high
-        if node.low == float("-inf") and not node.low_open:
+        if node.low == -math.inf and not node.low_open:
             low = c.isNotNull()
-        return low if node.high == float("inf") and not node.high_open else low & high
+        if node.high == math.inf and not node.high_open:
+            return low & ~F.isnan(c) if stored else low  # no number is above any bound
+        return low & high
 
     def _tags(self, node: Tags) -> Column:
+        field = self.schema.field(node.field)
         c = self._column(node.field)
         tests = []
         if len(node.exact) == 1:
@@ -66,7 +97,14 @@ class FilterCompiler:
             tests.append(F.arrays_overlap(c, F.array(*map(F.lit, node.exact))))
         for p in node.prefixes:
             tests.append(F.exists(c, self._begins(p)))
-        return reduce(or_, tests)
+        found = reduce(or_, tests)
+        raw, kind = self._raw(field)
+        wanted = [t for t in (*node.exact, *node.prefixes) if t]
+        if kind != "string" or len(wanted) > _HINTS or len(wanted) < len(node.exact) + len(node.prefixes):
+            return found
+        # what the scan can test: the stored text has the tag in it, or where case is folded its first letter
+        parts = wanted if field.case_sensitive else [x for t in wanted for x in ((t,) if t.upper() == t.lower() else (t[0].lower(), t[0].upper()) if t[0].isascii() else (t[0],))]
+        return reduce(or_, (raw.contains(x) for x in dict.fromkeys(parts))) & found
 
     # -- words
 
@@ -77,35 +115,35 @@ class FilterCompiler:
         found = keep(every).distinct().orderBy("w" if by is None else by)
         return [r.w for r in (found if limit is None else found.limit(limit)).collect()]
 
-    def _expansion(self, node: Word, field: str) -> list[str] | None:
-        """The words that node stands for in a field; None if the test on each word is as good."""
+    def _hidden(self, key: tuple, value: Callable[[], Column]) -> Column:
+        """A column of the table for a value that is computed in Python, which no lambda can hold."""
+        if key not in self._names:
+            self._names[key] = f"__found_{len(self._names)}"
+            self.rows = self.rows.withColumn(self._names[key], value())
+        return F.col(self._names[key])
+
+    def _stemmed(self, node: Word, field: str) -> bool:
+        return node.how == "term" and self.schema.field(field).stem
+
+    def _fixed(self, node: Word, field: str) -> list[str] | None:
+        """The words that node stands for, where they are known beforehand: itself, or an expansion that is capped."""
         limit = self.settings.max_term_expansions
-        stemmed = tuple(f for f in node.fields if self.schema.field(f).stem)
-        if node.how == "exact" or node.how == "term" and field not in stemmed:
+        if node.how == "exact" or node.how == "term" and not self._stemmed(node, field):
             return [node.text]
+        if limit is None:
+            return None
         key = (node, "stem" if node.how == "term" else "")
         if key not in self._words:
             w = F.col("w")
             if node.how == "term":
-                goal = stem(node.text)
-                at_ingest = self.schema.min_stem_size
+                goal, stemmed = stem(node.text), tuple(f for f in node.fields if self.schema.field(f).stem)
 
                 def keep(d: DataFrame) -> DataFrame:
-                    # a stem begins as its word does; so few words reach the stemmer
-                    return d.where(w.startswith(goal[:1]) & (F.octet_length(w) >= at_ingest)).distinct().where(stem_column(w) == goal)
+                    return d.where(self._may_stem(goal)(w)).distinct().where(stem_column(w) == goal)
 
                 self._words[key] = list(dict.fromkeys([node.text, goal, *self._vocabulary(stemmed, keep, limit)]))
             elif node.how == "fuzzy":
-                size = len(node.text.encode())
-
-                def close(d: DataFrame) -> DataFrame:
-                    # a swap is two edits to the built-in distance: what is over twice the limit needs no closer look
-                    likely = d.where(F.octet_length(w).between(size - node.distance, size + node.distance)).distinct().where(F.levenshtein(w, F.lit(node.text), 2 * node.distance) >= 0)
-                    return likely.where(within_column(w, node.text, node.distance))
-
-                self._words[key] = self._vocabulary(node.fields, close, limit)
-            elif limit is None:
-                self._words[key] = None
+                self._words[key] = self._vocabulary(node.fields, lambda d: d.where(self._may_be_near(node)(w)).distinct().where(within_column(w, node.text, node.distance)), limit)
             else:
                 test = w.startswith(node.text) if node.how == "prefix" else w.endswith(node.text)
                 # the first by the spelling read from the word's fixed side on
@@ -113,21 +151,49 @@ class FilterCompiler:
                 self._words[key] = some[:limit] if len(some) > limit else None
         return self._words[key]
 
+    def _may_stem(self, goal: str) -> Callable[[Column], Column]:
+        """A stem begins as its word does; so few words reach the stemmer."""
+        return lambda w: w.startswith(goal[:1]) & (F.octet_length(w) >= self.schema.min_stem_size)
+
+    @staticmethod
+    def _may_be_near(node: Word) -> Callable[[Column], Column]:
+        """A swap is two edits to the built-in distance: what is over twice the limit needs no closer look."""
+        size = len(node.text.encode())
+        return lambda w: F.octet_length(w).between(size - node.distance, size + node.distance) & (F.levenshtein(w, F.lit(node.text), 2 * node.distance) >= 0)
+
+    def _matching(self, node: Word, field: str) -> Column:
+        """The row's words in the field that are near to node's, or have its stem."""
+        if node.how == "fuzzy":
+            goal, limit = node.text.encode(), node.distance
+            likely, test = self._may_be_near(node), lambda w: osa_within(w.encode(), goal, limit)
+        else:
+            root = stem(node.text)
+            likely, test = self._may_stem(root), lambda w: stem(w) == root
+        c = self._column(field)
+        return self._hidden((node, field), lambda: words_column(F.array_distinct(F.filter(c, likely)), test))
+
     def _test(self, node: Word, field: str) -> Callable[[Column], Column]:
-        words = self._expansion(node, field)
+        """Whether node stands for a word of the field."""
+        words = self._fixed(node, field)
         if words is not None:
             return lambda t: t.isin(*words) if words else F.lit(False)
-        return (lambda t: t.startswith(node.text)) if node.how == "prefix" else (lambda t: t.endswith(node.text))
+        if node.how in ("prefix", "suffix"):
+            return (lambda t: t.startswith(node.text)) if node.how == "prefix" else (lambda t: t.endswith(node.text))
+        found = self._matching(node, field)
+        if node.how == "fuzzy":
+            return lambda t: F.array_contains(found, t)
+        return lambda t: t.isin(node.text, stem(node.text)) | F.array_contains(found, t)
 
     def _holds(self, node: Word, field: str) -> Column:
-        words, c = self._expansion(node, field), self._column(field)
-        if words is not None and len(words) == 1:
-            found = F.array_contains(c, words[0])
-        elif words is not None:
-            found = F.arrays_overlap(c, F.array(*map(F.lit, words))) if words else F.lit(False)
-        else:
-            found = F.exists(c, self._test(node, field))
-        return F.coalesce(found, F.lit(False))
+        words, c = self._fixed(node, field), self._column(field)
+        if words is None and node.how in ("prefix", "suffix"):
+            return F.exists(c, self._test(node, field))
+        if words is None:
+            found = F.size(self._matching(node, field)) > 0
+            return found if node.how == "fuzzy" else found | F.arrays_overlap(c, F.array(F.lit(node.text), F.lit(stem(node.text))))
+        if len(words) == 1:
+            return F.array_contains(c, words[0])
+        return F.arrays_overlap(c, F.array(*map(F.lit, words))) if words else F.lit(False)
 
     # -- positions
 
@@ -136,14 +202,14 @@ class FilterCompiler:
         if node.slop is None and not node.inorder or sum(self._placed(c) for c in node.children) < 2:
             return None
         fields = [f.alias for f in self.schema.of_kind("TEXT")]
-        tests = [F.size(s) > 0 for f in fields if (s := self._spans(node, f)) is not None]
-        return F.coalesce(reduce(or_, tests), F.lit(False)) if tests else F.lit(False)
+        tests = [F.size(s) > 0 for f in fields if (s := self._spans(node, f, nested=False)) is not None]
+        return reduce(or_, tests) if tests else F.lit(False)
 
     def _placed(self, node: Node) -> bool:
         return isinstance(node, Word) or isinstance(node, (And, Or)) and any(map(self._placed, node.children))
 
-    def _spans(self, node: Node, field: str) -> Column | None:
-        """The places of node in a field, as sorted (s, e) structs; None if it cannot stand there."""
+    def _spans(self, node: Node, field: str, nested: bool = True) -> Column | None:
+        """The places of node in a field, as sorted (s, e) structs; None if it cannot stand there. Not nested: whether there are any is all that counts."""
         if isinstance(node, Word):
             if field not in node.fields:
                 return None
@@ -167,7 +233,10 @@ class FilterCompiler:
             return F.array_sort(F.concat(*parts))
         if len(parts) <= MAX_ORDERS:
             return F.array_sort(F.array_distinct(F.concat(*(self._in_order(list(p), node.slop, strict=True) for p in permutations(parts)))))
-        return self._within(parts, node.slop)
+        words = [c.text for c in placed if isinstance(c, Word) and self._fixed(c, field) == [c.text]]
+        if not nested and self.schema.offsets and len(set(words)) == len(placed):
+            return self._within(parts, node.slop)
+        return self._hidden((node, field), lambda: any_order_column(parts, node.slop))
 
     def _in_order(self, parts: list[Column], slop: int | None, strict: bool = False) -> Column:
         """For every place of the first part the nearest places of the others behind it, one after the other, where the gaps are within slop."""
@@ -190,7 +259,7 @@ class FilterCompiler:
         return F.transform(chain, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
 
     def _within(self, parts: list[Column], slop: int) -> Column:
-        """Places from which all parts begin within slop words besides their own."""
+        """Places from which all parts begin within slop words besides their own: for single words that differ, of which no place can be two, this is every order of them."""
         reach = slop + len(parts) - 1
         starts = F.array_sort(F.array_distinct(F.concat(*parts)))
         return F.filter(starts, lambda u: reduce(and_, (F.exists(p, lambda v: (v["s"] >= u["s"]) & (v["s"] <= u["s"] + reach)) for p in parts)))

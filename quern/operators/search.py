@@ -55,7 +55,9 @@ def find(source: DataFrame, schema: IndexSchema, query: str, settings: Settings,
     node = FilterParser(text, schema, settings, options.verbatim, options.slop, options.inorder).parse()
     rows = prepare(source, schema, settings, key)
     if not isinstance(node, MatchAll):
-        rows = rows.where(FilterCompiler(schema, settings, rows).column(node))
+        compiler = FilterCompiler(schema, settings, rows)
+        matches = compiler.column(node)
+        rows = compiler.rows.where(matches)
     if neighbours is None:
         return Hits(rows, None, (F.col(KEY),))
     knn = parse_knn(neighbours, schema, options.params, used)

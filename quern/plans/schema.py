@@ -134,7 +134,8 @@ class Settings:
     query_terms: int = 1_000
     tag_min_prefix: int = 2
     fuzzy_max_distance: int = 3
-    max_term_expansions: int | None = 200
+    #: Words that a prefix, suffix, edit distance or stem stands for: None is all of them; a number (200 is usual) is the first so many by their spelling.
+    max_term_expansions: int | None = None
     max_knn: int = 10_000
     inorder_compat: bool = False
     #: Release whose gated behaviour applies: from (1, 2, 1) on non-empty strings are true and bad numbers NaN; from (1, 3, 0) on a document with a bad field is dropped whole.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.engine import Engine
 from quern.operators.aggregate import Apply, Filter, GroupBy, Limit, Load, Reduce, SortBy, Stage
-from quern.plans.schema import KEY, NUMERIC, TAG, TEXT, VECTOR, Field, IndexSchema, Settings
+from quern.plans.schema import KEY, NUMERIC, STOP_WORDS, TAG, TEXT, VECTOR, Field, IndexSchema, Settings
 from quern.sources.tables import keyed
 
 #: The indexes by name: table, key prefix and columns, definition, further columns.
@@ -125,18 +125,38 @@ _PART_WORDS, _DOC_WORDS = _WORDS.format("p_name"), _WORDS.format("text")
 _DOC_WORDS = _WORDS.format("replace(text, 'ß', 'ss')")
 add_search("text_term", "docs", "@text:idiot", f"SELECT {DOC} FROM documents WHERE list_contains({_DOC_WORDS}, 'idiot')")
 add_search("text_term_part", "part", "@p_name:widget -@p_name:red", f"SELECT {PART} FROM part WHERE list_contains({_PART_WORDS}, 'widget') AND NOT list_contains({_PART_WORDS}, 'red')")
-add_search("text_prefix", "docs", "license*", f"SELECT {DOC} FROM documents WHERE len(list_filter({_DOC_WORDS}, lambda w: starts_with(w, 'license'))) > 0", settings=Settings(max_term_expansions=None))
-add_search("text_prefix_uncapped", "docs", "@text:er*", f"SELECT {DOC} FROM documents WHERE len(list_filter({_DOC_WORDS}, lambda w: starts_with(w, 'er'))) > 0", settings=Settings(max_term_expansions=None))
+add_search("text_prefix", "docs", "license*", f"SELECT {DOC} FROM documents WHERE len(list_filter({_DOC_WORDS}, lambda w: starts_with(w, 'license'))) > 0")
+add_search("text_prefix_uncapped", "docs", "@text:er*", f"SELECT {DOC} FROM documents WHERE len(list_filter({_DOC_WORDS}, lambda w: starts_with(w, 'er'))) > 0")
 #: The capped form: of the words that begin so, the first 200 by their spelling count.
 add_search("text_prefix_capped", "docs", "@text:e*", f"WITH d AS (SELECT doc_id, {_DOC_WORDS} AS words FROM documents), w AS (SELECT DISTINCT w FROM (SELECT unnest(words) AS w FROM d) WHERE starts_with(w, 'e') ORDER BY w LIMIT 200) SELECT {DOC} FROM d WHERE list_has_any(words, (SELECT list(w) FROM w))", settings=Settings(max_term_expansions=200))
-add_search("text_suffix", "docs", "@text:*heit", f"SELECT {DOC} FROM documents WHERE len(list_filter({_DOC_WORDS}, lambda w: ends_with(w, 'heit'))) > 0", settings=Settings(max_term_expansions=None))
+add_search("text_suffix", "docs", "@text:*heit", f"SELECT {DOC} FROM documents WHERE len(list_filter({_DOC_WORDS}, lambda w: ends_with(w, 'heit'))) > 0")
 add_search("text_phrase", "docs", '"MIT License"', f"SELECT {DOC} FROM documents WHERE contains(' ' || array_to_string({_DOC_WORDS}, ' ') || ' ', ' mit license ')")
 add_search("text_and_or_not", "docs", "(license | token) -@text:mit @lang:{en|fr}", f"SELECT {DOC} FROM documents WHERE (list_contains({_DOC_WORDS}, 'license') OR list_contains({_DOC_WORDS}, 'token')) AND NOT list_contains({_DOC_WORDS}, 'mit') AND lang IN ('en', 'fr')")
 add_search("text_unfielded", "docs", "pathetic", f"SELECT {DOC} FROM documents WHERE list_contains({_DOC_WORDS}, 'pathetic')")
-add_search("text_fuzzy", "docs", "%licence%", f"SELECT {DOC} FROM documents WHERE len(list_filter({_DOC_WORDS}, lambda w: abs(strlen(w) - 7) <= 1 AND damerau_levenshtein(w, 'licence') <= 1)) > 0", settings=Settings(max_term_expansions=None))
+add_search("text_fuzzy", "docs", "%licence%", f"SELECT {DOC} FROM documents WHERE len(list_filter({_DOC_WORDS}, lambda w: abs(strlen(w) - 7) <= 1 AND damerau_levenshtein(w, 'licence') <= 1)) > 0")
+
+
+def _two_edits(word: str) -> str:
+    """SQL for at most two insertions, deletions, changes or swaps of neighbours, no part edited twice: two edits without a swap, or a swap and one edit elsewhere, or two swaps."""
+    swapped = {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)}
+    twice = {w[:k] + w[k + 1] + w[k] + w[k + 2 :] for i in range(len(word) - 1) for w in [word[:i] + word[i + 1] + word[i] + word[i + 2 :]] for k in range(len(word) - 1) if abs(i - k) > 1}
+    tests = ["levenshtein(w, '" + word + "') <= 2", "w IN (" + ", ".join(f"'{x}'" for x in sorted(swapped | twice)) + ")"]
+    for i in range(len(word) - 1):
+        for at in range(max(0, i - 1), i + 2):
+            tests.append(f"(substr(w, {at + 1}, 2) = '{word[i + 1]}{word[i]}' AND levenshtein(substr(w, 1, {at}), '{word[:i]}') + levenshtein(substr(w, {at + 3}), '{word[i + 2 :]}') <= 1)")
+    return f"abs(strlen(w) - {len(word)}) <= 2 AND (" + " OR ".join(tests) + ")"
+
+
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+#: So many words are so near that a usual cap would cut them.
+add_search("text_fuzzy_wide", "docs", "%%than%%", f"WITH d AS (SELECT doc_id, {_DOC_WORDS} AS words FROM documents), v AS (SELECT list(w) AS near FROM (SELECT DISTINCT unnest(words) AS w FROM d) WHERE w NOT IN ({_STOP}) AND {_two_edits('than')}) SELECT {DOC} FROM d, v WHERE list_has_any(words, near)")
 add_search("text_inorder", "docs", "released mit license", f"SELECT {DOC} FROM documents WHERE regexp_matches(' ' || array_to_string({_DOC_WORDS}, ' ') || ' ', ' released (.* )?mit (.* )?license ')", inorder=True)
 add_search("text_slop", "docs", "released license", f"SELECT {DOC} FROM documents WHERE regexp_matches(' ' || array_to_string(list_filter({_DOC_WORDS}, lambda w: w NOT IN ('a','is','the','an','and','are','as','at','be','but','by','for','if','in','into','it','no','not','of','on','or','such','that','their','then','there','these','they','this','to','was','will','with')), ' ') || ' ', ' (released ([^ ]+ ){{0,2}}license|license ([^ ]+ ){{0,2}}released) ')".replace("{{", "{").replace("}}", "}"), slop=2)
-add_search("text_stem", "stems", "licensing", None, settings=Settings(max_term_expansions=None))
+_FIVE = "['from', 'th', 're', 'er', 'nd']"
+#: Five words in any order, with 40 others at most among them.
+add_search("text_slop_five", "docs", "from th re er nd", f"WITH d AS (SELECT doc_id, list_filter({_DOC_WORDS}, lambda w: w NOT IN ({_STOP})) AS ws FROM documents) SELECT {DOC} FROM d WHERE list_has_all(ws, {_FIVE}) AND len(list_filter(range(1, len(ws) + 1), lambda i: list_has_all(ws[i:i + 44], {_FIVE}))) > 0", slop=40)
+#: The words that have its stem.
+add_search("text_stem", "stems", "licensing", f"SELECT {DOC} FROM documents WHERE list_has_any({_DOC_WORDS}, ['licens', 'license', 'licensed', 'licensee', 'licenser', 'licenses', 'licensing', 'licensable', 'licensement'])")
 
 # -- vectors: the query is the vector of vec_id 0
 

@@ -26,18 +26,19 @@ def to_number(value: Column, dtype: str) -> Column:
         return F.lit(None).cast("double")
     elif dtype in ("timestamp", "timestamp_ntz", "date"):
         number = value.cast("timestamp").cast("double")
+    elif dtype in ("tinyint", "smallint", "int", "bigint"):
+        return value.cast("double")
     else:
         number = value.cast("double")
     return F.when(~F.isnan(number), number)
 
 
 def to_tags(value: Column, field: Field) -> Column:
-    """The distinct tags, null if there are none."""
+    """The distinct tags, perhaps none; null for a null."""
     parts = F.transform(F.split(value, _literal(field.separator), -1), lambda t: F.regexp_replace(t, r"^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$", ""))
     if not field.case_sensitive:
         parts = F.transform(parts, ascii_lower)
-    found = F.array_distinct(F.filter(parts, lambda t: t != ""))
-    return F.when(F.size(found) > 0, found)
+    return F.array_distinct(F.filter(parts, lambda t: t != ""))
 
 
 def ascii_lower(value: Column) -> Column:
@@ -78,9 +79,14 @@ def once(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), 0)
 
 
+def is_path(schema: IndexSchema, field: Field) -> bool:
+    """Whether a field is a path into the JSON document."""
+    return schema.on == "JSON" and field.identifier.startswith(DOCUMENT)
+
+
 def raw_value(df: DataFrame, schema: IndexSchema, field: Field) -> tuple[Column, str]:
     """A field's raw column and its type: a column of that name, or a path into the JSON document."""
-    if schema.on == "JSON" and field.identifier.startswith(DOCUMENT):
+    if is_path(schema, field):
         return once(F.get_json_object(F.col(f"`{DOCUMENT}`"), field.identifier), lambda v: F.nullif(v, F.lit(""))), "string"
     if field.identifier not in df.columns:
         return F.lit(None).cast("string"), "string"
@@ -90,13 +96,13 @@ def raw_value(df: DataFrame, schema: IndexSchema, field: Field) -> tuple[Column,
 def typed(df: DataFrame, schema: IndexSchema, field: Field) -> tuple[Column, Column]:
     """(prepared column, whether the raw value is there but invalid)."""
     value, dtype = raw_value(df, schema, field)
-    dear = schema.on == "JSON" and field.identifier.startswith(DOCUMENT)
+    dear = is_path(schema, field)
     if field.kind == NUMERIC:
         out = once(value, lambda v: to_number(v, dtype)) if dear else to_number(value, dtype)
     elif field.kind == TAG:
         if dtype.startswith("array"):
             listed = F.transform(value.cast("array<string>"), lambda t: t if field.case_sensitive else ascii_lower(t))
-            out = F.when(F.size(listed) > 0, F.array_distinct(F.filter(listed, lambda t: t.isNotNull() & (t != ""))))
+            out = F.array_distinct(F.filter(listed, lambda t: t.isNotNull() & (t != "")))
         else:
             out = once(value, lambda v: to_tags(v, field)) if dear else to_tags(value.cast("string"), field)
         return out, F.lit(False)

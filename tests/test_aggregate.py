@@ -169,6 +169,35 @@ def test_stream_of_changes(spark, tmp_path):
     assert [r[KEY] for r in e.search("d", "@v:{z}").collect()] == ["a"]
 
 
+def test_upsert_touches_few_buckets(spark, tmp_path):
+    """A batch rewrites the buckets of its keys alone; deletion marks go with compact(); an empty batch changes nothing."""
+    import os
+
+    from quern.streaming.upsert import UpsertTable
+
+    schema = f"{KEY} string, __seq long, __deleted boolean, v string"
+    t = UpsertTable(spark, str(tmp_path / "t"), buckets=16)
+    assert t.documents() is None
+    t.apply(spark.range(400).selectExpr(f"cast(id as string) {KEY}", "1L __seq", "false __deleted", "'old' v"), 0)
+    t.apply(spark.createDataFrame([("7", 2, False, "new"), ("8", 2, True, None), ("900", 2, False, "new")], schema), 1)
+    assert len(os.listdir(tmp_path / "t/data/v=0")) >= 16 and sum(x.startswith("__bucket=") for x in os.listdir(tmp_path / "t/data/v=1")) <= 3
+    t.apply(spark.createDataFrame([], schema), 2)
+    assert sorted(set(t.index(2).values())) == [0, 1] and t.documents().count() == 400 and t.state().count() == 401
+    assert {r[KEY] for r in t.documents().where("v = 'new'").collect()} == {"7", "900"}
+    t.compact(3, 3)
+    assert t.state().count() == t.documents().count() == 400
+    t.vacuum()
+    assert t.versions() == [2, 3] and t.documents().count() == 400
+    t.apply(spark.createDataFrame([("7", 9, True, None)], schema), 4)
+    t.vacuum()
+    assert t.versions() == [3, 4] and sorted(x for x in os.listdir(tmp_path / "t/data") if x.startswith("v=")) == ["v=3", "v=4"]
+    assert t.documents().count() == 399
+    gone = UpsertTable(spark, str(tmp_path / "gone"))
+    gone.apply(spark.createDataFrame([("7", 9, True, None)], schema), 0)
+    gone.compact(1, 10)
+    assert gone.documents() is None
+
+
 def test_user_functions(one):
     from pyspark.sql import functions as F
 

@@ -37,16 +37,62 @@ def test_query(spark, db, name):
     assert mine == sorted(tuple(plain(r[i]) for i in at) for r in want.fetchall())
 
 
-def test_plans(spark):
-    """Filters are pushed to the scan, columns pruned, a page is one top-k; nothing leaves the JVM."""
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def pushed(df):
+    """What each scan is given to test."""
+    return [line.split("PushedFilters: [")[1].split("], ReadSchema")[0] for line in plan(df).split("\n") if "PushedFilters: [" in line]
+
+
+@pytest.mark.parametrize(
+    ("name", "filters"),
+    [
+        ("num_range", ["GreaterThanOrEqual(o_totalprice,100000.0)", "LessThanOrEqual(o_totalprice,200000.0)"]),
+        ("num_exclusive", ["GreaterThan(o_totalprice,100000.0)", "LessThan(o_totalprice,200000.0)"]),
+        ("num_inf", ["GreaterThan(o_totalprice,250000.0)"]),
+        ("num_minus_inf", ["LessThanOrEqual(o_totalprice,5000.0)"]),
+        ("bool_and", ["GreaterThanOrEqual(o_totalprice,100000.0)", "StringContains(o_orderstatus,o)", "StringContains(o_orderstatus,O)"]),
+        ("bool_or", ["GreaterThan(o_totalprice,290000.0)", "StringContains(o_orderstatus,P)"]),
+        ("tag_exact", ["StringContains(o_orderstatus,F)"]),
+        ("tag_case", ["StringContains(p_type,SMALL)", "StringContains(p_type,ECONOMY)"]),
+        ("search_limit_offset", ["StringContains(o_orderstatus,O)"]),
+        ("agg_group_multi", ["GreaterThanOrEqual(value,0.0)", "LessThanOrEqual(value,50.0)"]),
+        ("agg_apply_chain", ["GreaterThanOrEqual(l_quantity,45.0)"]),
+        ("knn_k_gt_n", ["GreaterThanOrEqual(vec_id,0)", "LessThanOrEqual(vec_id,30)"]),
+        ("knn_hybrid", ["GreaterThanOrEqual(label,2)", "LessThanOrEqual(label,5)"]),
+    ],
+)
+def test_pushed_filters(spark, name, filters):
+    """Ranges and tags reach the scan, by the column's name."""
+    found = " ".join(pushed(QUERIES[name](spark, D)))
+    assert all(f in found for f in filters), found
+
+
+def test_stored_keys_are_pruned_by_prefix(spark, tmp_path):
+    from quern import KEY, NUMERIC, Engine, Field, IndexSchema
+
+    spark.range(100).selectExpr(f"concat(if(id < 50, 'a:', 'b:'), id) AS {KEY}", "id AS n").write.parquet(f"{tmp_path}/t")
+    e = Engine(spark)
+    e.create(IndexSchema("i", (Field("n", NUMERIC),), prefixes=("a:",)), spark.read.parquet(f"{tmp_path}/t"))
+    df = e.search("i", "@n:[10 60]", limit=None, nocontent=True)
+    assert f"StringStartsWith({KEY},a:)" in pushed(df)[0] and df.count() == 40
 
-    def plan(name):
-        return QUERIES[name](spark, D)._jdf.queryExecution().executedPlan().toString()
 
-    p = plan("num_range")
-    assert "PushedFilters" in p and "o_totalprice" in p and "o_orderpriority" not in p.split("ReadSchema")[1].split("\n")[0]
-    assert "TakeOrderedAndProject" in plan("search_sort_desc") and "Python" not in plan("text_phrase") + plan("agg_two_groupbys") + plan("text_slop")
-    assert "CartesianProduct" not in plan("knn_hybrid")
+def test_plans(spark):
+    """Columns are pruned, a page is one top-k; nothing leaves the JVM but words for stems and edit distances; no job runs before the result is asked for."""
+    p = plan(QUERIES["num_range"](spark, D))
+    assert "o_orderpriority" not in p.split("ReadSchema")[1].split("\n")[0]
+    assert "TakeOrderedAndProject" in plan(QUERIES["search_sort_desc"](spark, D))
+    assert not any("Python" in plan(QUERIES[n](spark, D)) for n in ("text_phrase", "agg_two_groupbys", "text_slop", "text_slop_five", "text_prefix", "text_suffix"))
+    assert "CartesianProduct" not in plan(QUERIES["knn_hybrid"](spark, D))
+    spark.sparkContext.setJobGroup("lazy", "")
+    for n in ("text_fuzzy_wide", "text_stem", "text_prefix"):
+        QUERIES[n](spark, f"{D}")
+    # a job each to read the table's schema
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")) <= 3
+    spark.sparkContext.setJobGroup("", "")
 
 
 def test_entry(spark):

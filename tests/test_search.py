@@ -144,6 +144,48 @@ def test_stems(spark):
     assert keys(engine, "s", '"running every"') == ["8"]
 
 
+def test_any_order():
+    """Against every order and every choice of places."""
+    import itertools
+    import random
+
+    from quern.functions.text import any_order
+
+    rng = random.Random(6)
+    for _ in range(400):
+        n, slop = rng.randint(2, 5), rng.randint(0, 5)
+        parts = [sorted({(s, s + rng.choice((0, 0, 1, 2))) for s in rng.sample(range(14), rng.randint(1, 3))}) for _ in range(n)]
+        want = {}
+        for chosen in itertools.product(*parts):
+            row = sorted(chosen)
+            if all(b[0] > a[1] for a, b in itertools.pairwise(row)) and row[-1][0] - row[0][0] <= slop + n - 1:
+                want[row[0][0]] = min(want.get(row[0][0], 99), row[-1][1])
+        assert any_order(parts, slop) == sorted(want.items())
+
+
+@pytest.mark.parametrize(
+    ("query", "slop", "found"),
+    [
+        ("alpha beta gamma delta epsilon", 0, "1"), ("epsilon delta gamma beta alpha", 0, "1"), ("alph* beta gamm* delta epsilon", 0, "1"), ("epsilon alph* alpha beta gamma delta", 3, ""),
+        ("wor* word alpha beta gamma", 0, "2"), ("wor* word alpha beta gamma", 2, "2 8"), ("wor* word word* alpha beta gamma", 4, "5 8"), ("word word alpha beta gamma", 0, "2"), ("blah word4 word5 alpha word beta", 1, ""), ("blah word4 word5 alpha word beta", 2, "4"),
+    ],
+)
+def test_slop_of_many_words(near, query, slop, found):
+    """Five words and more, repeated and overlapping ones too: every order, no place twice."""
+    assert keys(near, "near", "@content:" + query.replace(" ", " @content:"), slop=slop) == found.split()
+
+
+def test_whole_numbers(spark):
+    engine = Engine(spark)
+    rows = [(str(i), n, float(n)) for i, n in enumerate((-3, 0, 2, 5, 2**31 - 1))] + [("5", None, float("nan")), ("6", 7, float("inf"))]
+    engine.create(IndexSchema("w", (Field("n", NUMERIC), Field("d", NUMERIC))), spark.createDataFrame(rows, f"{KEY} string, n bigint, d double"))
+    for query, found in (
+        ("@n:[1.5 5.5]", "2 3"), ("@n:[(2 (5]", ""), ("@n:[2 5]", "2 3"), ("@n:[-inf inf]", "0 1 2 3 4 6"), ("@n:[(-2.5 (2]", "1"), ("-@n:[0 10]", "0 4 5"), ("@n:[-1e300 1e300]", "0 1 2 3 4 6"), ("@n:[1e18 1e19]", ""),
+        ("@d:[-inf inf]", "0 1 2 3 4 6"), ("@d:[3 inf]", "3 4 6"), ("@d:[3 (inf]", "3 4"), ("-@d:[0 10]", "0 4 5 6"), ("-(-@d:[0 10])", "1 2 3"), ("@n:[0 2] | -@d:[-inf inf]", "1 2 5"),
+    ):
+        assert keys(engine, "w", query) == found.split(), query
+
+
 def test_tokens(spark):
     engine = Engine(spark)
     texts = ["Hello, World! foo_bar", "a\\,b and\\cat", "naïve STRASSE Straße", "the is of", "x" * 50_000 + " end" + "\\," * 20_000, None, ""]

@@ -113,3 +113,54 @@ def test_one_of_each(odd, odd_rows):
     assert ids == sorted([3, 1, None, 7, 8, 9, 10, -4], key=str)
     again = odd.unionByName(odd)
     assert sorted((r.doc_id for r in simhash.keep_one_of_each(again).collect()), key=str) == ids
+
+
+def test_hot_copies(spark):
+    """A hundred thousand rows alike in every column: one stays, and none of the steps brings rows together by what they hold."""
+    hot = spark.range(100_000).selectExpr("7L AS doc_id", "'the same few words in every one of them' AS text", "'x' AS source")
+    rest = spark.range(300).selectExpr("id + 100 AS doc_id", "concat_ws(' ', transform(sequence(0, 60), i -> sha2(concat(id, ':', i), 256))) AS text", "'y' AS source")
+    out = simhash.keep_one_of_each(hot.unionByName(rest))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "__hash" not in plan.split("SortMergeJoin")[0]
+    assert sorted(r.doc_id for r in out.collect()) == [7, *range(100, 400)]
+
+
+@pytest.mark.parametrize("radius_bits", [0, 1, 2, 3])
+def test_blocks_agree(radius_bits):
+    """Whatever bits differ, fingerprints within the radius meet in some bucket of every deal."""
+    rng = random.Random(radius_bits)
+    for deal in simhash.DEALS:
+        for _ in range(200):
+            mask = 0 if rng.random() < 0.5 else rng.choice(simhash.block_masks(0, simhash.DEALS[0]))
+            a = rng.getrandbits(64)
+            b = a ^ sum(1 << k for k in rng.sample([k for k in range(64) if not mask >> k & 1], radius_bits))
+            assert any((a ^ b) & m == 0 for m in simhash.block_masks(mask, deal))
+
+
+def test_bucket_links_are_those_of_all_pairs():
+    """Several buckets of close fingerprints: the links connect what all pairs within the radius connect, and pivots discard pairs."""
+    rng = random.Random(8)
+    marks, bucket = [], []
+    for n in range(6):
+        for _ in range(5):
+            m = rng.getrandbits(64)
+            for _ in range(8):
+                marks.append(m)
+                bucket.append(n)
+                m ^= sum(1 << k for k in rng.sample(range(64), rng.randint(1, 5)))
+    a, b = simhash.bucket_links(np.array(bucket), np.array(marks, np.uint64), 3, simhash.pivots())
+    roots = {m: m for m in marks}
+
+    def find(m):
+        while roots[m] != m:
+            m = roots[m]
+        return m
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        roots[find(x)] = find(y)
+    for n in range(6):
+        mine = [m for m, k in zip(marks, bucket, strict=True) if k == n]
+        want = brute_components(mine)
+        for i in range(len(mine)):
+            for j in range(i):
+                assert (want[i] == want[j]) == (find(mine[i]) == find(mine[j]))

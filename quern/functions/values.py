@@ -154,3 +154,31 @@ def arithmetic(op: str, a: Val, b: Val) -> Val:
     if b.kind == ARR:
         return Val(F.transform(b.col, lambda y: f(as_number(a), as_number(Val(y, b.item)))), ARR, NUM)
     return Val(f(as_number(a), as_number(b)), NUM)
+
+
+# -- arrays as values, for functions that users register
+
+
+def is_array(v: Val) -> Val:
+    return Val(F.lit(v.kind == ARR), BOOL)
+
+
+def array_length(v: Val) -> Val:
+    """How many elements an array has; Nil for what is none."""
+    return Val(F.size(v.col).cast("double"), NUM) if v.kind == ARR else nil(NUM)
+
+
+def array_element(v: Val, index: Val) -> Val:
+    """The element at a place from 0 on; Nil where there is none, where the place is no whole number, and for what is no array."""
+    if v.kind != ARR:
+        return nil(STR)
+    at = as_number(index)
+    return Val(F.get(v.col, F.when((at >= 0) & (at == F.floor(at)) & (at < F.size(v.col)), at).cast("int")), v.item)
+
+
+def flattened(v: Val, depth: Val) -> Val:
+    """The array itself, as its elements are no arrays in turn; Nil for what is none or where the depth is no whole number."""
+    if v.kind != ARR:
+        return nil(ARR)
+    levels = as_number(depth)
+    return Val(F.when(levels == F.floor(levels), v.col), ARR, v.item)

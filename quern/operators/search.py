@@ -17,7 +17,7 @@ from quern.sources.prepare import DOCUMENT, prepare, raw_value
 @dataclass(frozen=True)
 class SearchOptions:
     """returns: (field, name) pairs, or None for all content; limit: (offset, number), or None for all rows,
-    which then are in no order unless one is asked for.
+    which then are in no order unless one is asked for; timeout: milliseconds that Engine.rows() waits (0: for ever).
     """
 
     returns: tuple[tuple[str, str], ...] | None = None
@@ -29,6 +29,7 @@ class SearchOptions:
     inorder: bool = False
     slop: int | None = None
     params: dict = field(default_factory=dict)
+    timeout: int = 50_000
 
 
 @dataclass(frozen=True)

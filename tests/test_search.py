@@ -1,5 +1,6 @@
 """Filter language and search over small corpora with known answers."""
 
+import pandas as pd
 import pytest
 
 from quern import KEY, NUMERIC, TAG, TEXT, VECTOR, Engine, Field, IndexSchema, QueryError, Settings
@@ -217,6 +218,11 @@ def test_commands_and_admin(spark, tmp_path):
     assert [r[KEY] for r in engine.execute('FT.SEARCH i "@colour:{red}" RETURN 1 n DIALECT 2').collect()] == ["a:1"]
     info = engine.execute("FT.INFO i LOCAL").collect()[0]
     assert (info.num_docs, info.num_records, info.n_docs, info.colour_tags) == (2, 4, 2, 2)
+    assert (info.state, info.backfill_in_progress, info.backfill_complete_percent, info.prefixes, info.language, info.hash_indexing_failures) == ("ready", 0, 1.0, ["a:"], "english", 0)
+    assert [(a.identifier, a.attribute, a.type, a.details) for a in info.attributes] == [("n", "n", "NUMERIC", ""), ("c", "colour", "TAG", "SEPARATOR ;")]
+    engine.execute("FT.CREATE t STOPWORDS 1 of MINSTEMSIZE 5 SCHEMA c TEXT NOSTEM n NUMERIC", rows.withColumn("n", rows.c))
+    text = engine.info("t").collect()[0]
+    assert (text.stop_words, text.min_stem_size, text.with_offsets, text.hash_indexing_failures) == (["of"], 5, 1, 3) and text.punctuation.startswith(",.")
     engine.save("i", str(tmp_path / "snap"))
     engine.execute("FT.DROPINDEX i")
     with pytest.raises(QueryError):
@@ -227,6 +233,38 @@ def test_commands_and_admin(spark, tmp_path):
             engine.execute(bad, rows)
 
 
+def test_time_out(spark):
+    """Commands are stopped when their time is over; others, and other jobs, are not."""
+    from pyspark.sql import functions as F
+
+    engine = Engine(spark)
+    engine.create(IndexSchema("quick", (Field("n", NUMERIC),)), spark.createDataFrame([("a", 1)], f"{KEY} string, n int"))
+    assert [r[KEY] for r in engine.rows("FT.SEARCH quick @n:[1,1] TIMEOUT 60000")] == ["a"]
+    assert engine.rows("FT.SEARCH quick @n:[1,1] TIMEOUT 0") == engine.rows("FT.SEARCH quick @n:[1,1]")
+
+    @F.pandas_udf("double")
+    def slow(x: pd.Series) -> pd.Series:
+        import time
+
+        time.sleep(30)
+        return x
+
+    engine.create(IndexSchema("slow", (Field("n", NUMERIC),)), spark.range(4).select(F.col("id").cast("string").alias(KEY), slow(F.col("id").cast("double")).alias("n")))
+    with pytest.raises(QueryError, match="longer than 300 ms"):
+        engine.rows("FT.SEARCH slow @n:[1,2] TIMEOUT 300")
+    with pytest.raises(QueryError):
+        engine.rows("FT.SEARCH quick * TIMEOUT 60001")
+
+
+def test_array_values(spark):
+    from quern.functions.values import ARR, NUM, STR, Val, array_element, array_length, flattened, is_array
+    from pyspark.sql import functions as F
+
+    a, n = Val(F.array(F.lit("x"), F.lit("y")), ARR), lambda x: Val(F.lit(x), NUM)
+    cases = [array_length(a), array_element(a, n(1.0)), array_element(a, n(2.0)), array_element(a, n(-1.0)), array_element(a, n(0.5)), is_array(a), is_array(n(1.0)), array_length(n(1.0)), flattened(a, n(0.0)), flattened(n(1.0), n(1.0)), array_element(Val(F.lit("s"), STR), n(0.0))]
+    assert list(spark.range(1).select(*(v.col.alias(f"c{i}") for i, v in enumerate(cases))).first()) == [2.0, "y", None, None, None, True, False, None, ["x", "y"], None, None]
+
+
 def test_binary_vectors(spark):
     import struct
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import text_fold
 
 UNDETERMINED = "und"
-#: Training: at most this many labelled documents, those of least hash of their id.
+#: Training: about this many labelled documents.
 TRAIN_DOCS = 12_000
 BUCKETS = 1 << 16
 #: Share of the pooled trigrams in every language's model.
@@ -116,15 +116,14 @@ class MixtureModel:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = TRAIN_DOCS) -> MixtureModel:
-    """Counts trigrams by language over at most max_docs documents outside fold 1 that have a text and a language.
+    """Counts trigrams by language over about max_docs documents, drawn evenly, outside fold 1 that have a text and a language.
 
     No such documents: a model without languages, which predicts `und`. Over MAX_LANGS languages are an error. Runs its jobs at once.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where((text_fold(F.col("i")) != 1) & F.col("l").isNotNull() & F.col("t").isNotNull())
-    order = F.xxhash64(F.col("i"), F.col("l"))
-    bar = rows.select(order.alias("h")).orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]
-    if bar is None:
-        return MixtureModel([], np.zeros((0, BUCKETS)))
+    total = rows.count()
+    # rows are drawn one by one, so that neither a hot id nor copies come along as a whole
+    drawn = rows.sample(False, max_docs / total, seed=7) if total > max_docs else rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -136,8 +135,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], names=["l", "g", "n"])
 
-    counted = rows.where(order <= bar).select("l", "t").mapInArrow(run, "l string, g bigint, n bigint").groupBy("l", "g").agg(F.sum("n").alias("n")).toPandas()
+    counted = drawn.select("l", "t").mapInArrow(run, "l string, g bigint, n bigint").groupBy("l", "g").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counted["l"].unique())
+    if not langs:
+        return MixtureModel([], np.zeros((0, BUCKETS)))
     if len(langs) > MAX_LANGS:
         raise ValueError(f"{len(langs)} languages to learn, {MAX_LANGS} at most")
     counts = np.zeros((len(langs), BUCKETS))

@@ -199,7 +199,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # max_docs rows of two numbers: a bounded table, and one row for each id
     sample = single.orderBy(F.xxhash64("__id"), "__id").limit(max_docs)
     rows = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__t")).where("__id IS NOT NULL").join(F.broadcast(sample), "__id")
-    found = with_statistics(rows, ["__id", "__y"], "__t").groupBy("__id").agg(F.first("__y").alias("__y"), *(F.min(s).alias(s) for s in STATS)).orderBy("__id").toPandas()
+    # one text for each id before any statistics, by a partial minimum: a hot id is one row from each task
+    texts = rows.groupBy("__id").agg(F.first("__y").alias("__y"), F.min("__t").alias("__t"))
+    found = with_statistics(texts, ["__id", "__y"], "__t").orderBy("__id").toPandas()
     return fit(found[list(STATS)].to_numpy(float), found["__y"].to_numpy(float))
 
 

@@ -67,6 +67,7 @@ def test_banded_edits():
         p = bytes(rng.choice(b"abc") for _ in range(rng.randint(5, 20)))
         t = bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 30)))
         best = substring_edits(p, t)
+        assert decontam.least_edits(p, t)[0] == best
         edits, end = decontam.banded_edits(p, t, -len(p), len(t) + 2 * len(p), 6)
         assert edits == min(best, 7)
         if edits <= 6:

@@ -7,10 +7,50 @@ import pytest
 
 from quern.llm import bpe, decontam, langid, queries, secret_scan
 
-from .test_decontam import brute as contaminated_by
+from .test_scans import brute_secrets
 from .test_simhash import brute_components, brute_fingerprint
 
 D = "/root/testdata/sf0.001"
+RUN = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+
+
+def grams(raw):
+    return {raw[i : i + decontam.Q] for i in range(len(raw) - decontam.Q + 1)}
+
+
+def plainly_contaminated(windows, text):
+    """Whether some window is in the text within its edits: each that shares enough q-grams with it, wherever, is aligned with all of it (test_decontam holds the alignment to the whole table)."""
+    raw = decontam.normal(text)
+    held = grams(raw)
+    return any(w.text in raw or len(held & g) >= len(g) - w.edits * decontam.Q and decontam.least_edits(w.text, raw)[0] <= w.edits for w, g in windows)
+
+
+def plainly_redacted(text, model):
+    """Base spans as the contract words them, runs of 12 characters or more found by hand; what overlaps becomes one mark."""
+    spans = [(int(a), int(b)) for _, a, b in (x.split(":") for x in brute_secrets(text).split(",") if x)]
+    base, edge = list(spans), RUN | set(map(chr, range(0xC0, 0x250)))
+    for a, b in runs(text):
+        whole = not (a and text[a - 1] in edge) and not (b < len(text) and text[b] in edge)
+        if whole and b - a >= 12 and not any(x <= a and b <= y for x, y in base) and model.score(text[a:b]) > secret_scan.THRESHOLD:
+            spans.append((a, b))
+    out, at = "", 0
+    for a, b in sorted(spans):
+        if b <= at:
+            continue
+        if a >= at:
+            out += text[at:a] + "[SECRET]"
+        at = b
+    return out + text[at:]
+
+
+def runs(text):
+    start = None
+    for i, c in enumerate(text + " "):
+        if c in RUN and start is None:
+            start = i
+        elif c not in RUN and start is not None:
+            yield start, i
+            start = None
 
 
 def test_against_plain_stages(spark):
@@ -20,17 +60,13 @@ def test_against_plain_stages(spark):
     rows = {i: t for i, t in rows.items() if model.predict(t)[0] != "und" and model.predict(t)[1] >= 0.4}
     ids = sorted(rows)
     kept = {ids[c] for c in brute_components([brute_fingerprint(rows[i]) for i in ids])}
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()]
-    index = decontam.BenchmarkIndex(items)
-    # documents that share a window's text or that the index names are aligned in full, the others share no 12 characters often enough
-    bad = {i for i in kept if index.matches(rows[i])}
-    for i in sorted(bad)[:3]:
-        assert contaminated_by(items, rows[i])
+    windows = [(w, grams(w.text)) for r in spark.read.parquet(f"{D}/benchmark.parquet").collect() for w in decontam.windows_of(r.item_id, decontam.normal(r.text))]
+    bad = {i for i in kept if plainly_contaminated(windows, rows[i])}
+    assert bad and len(bad) < len(kept) / 2
     markov, word = secret_scan.train(spark.createDataFrame([(rows[i],) for i in kept - bad], "text string")), bpe.codec(bpe.tokenizer_path())
     want = set()
     for i in kept - bad:
-        text = secret_scan.redact(rows[i], secret_scan.find_secrets(rows[i], markov, secret_scan.THRESHOLD)[1], "[SECRET]")
-        ids = word.library.encode(text, add_special_tokens=False).ids
+        ids = word.library.encode(plainly_redacted(rows[i], markov), add_special_tokens=False).ids
         want.add((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(word.library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert {tuple(r) for r in corpus_pipeline.run(spark, D).collect()} == want
 

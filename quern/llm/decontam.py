@@ -97,33 +97,11 @@ def windows_of(item: int, raw: bytes) -> list[Window]:
     return out
 
 
-def banded_edits(pattern: bytes, text: bytes, low: int, width: int, limit: int) -> tuple[int, int]:
-    """(least edits, end in text) of pattern against any substring of text that begins on a diagonal from low on, `width` of them; limit + 1 if over limit."""
-    p, n = np.frombuffer(pattern, np.uint8), len(text)
-    t = np.frombuffer(text, np.uint8)
-    span = np.arange(width + 2 * limit) + low - limit  # diagonals: edits lead off the starting ones by limit at most
-    big = limit + 1
-    row = np.where((span >= 0) & (span <= n) & (span >= low) & (span < low + width), 0, big)
-    steps = np.arange(len(span))
-    for i in range(len(p)):
-        at = span + i  # the character of the text that meets p[i] on each diagonal
-        inside = (at >= 0) & (at < n)
-        same = np.zeros(len(span), bool)
-        same[inside] = t[at[inside]] == p[i]
-        new = row + ~same
-        new[~inside] = big
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)  # a character of the pattern is missing in the text
-        new = np.minimum.accumulate(new - steps) + steps  # characters of the text are inserted
-        row = np.minimum(new, big)
-        row[(at + 1 < 0) | (at + 1 > n)] = big
-        if row.min() > limit:
-            return big, 0
-    best = int(row.argmin())
-    return int(row[best]), int(span[best] + len(p))
-
-
 def least_edits(pattern: bytes, text: bytes) -> tuple[int, int]:
-    """(least edits, end in text) of pattern against any substring of text, by the bits of whole numbers (Myers)."""
+    """(least edits, end in text) of pattern against any substring of text, by the bits of whole numbers (Myers).
+
+    The text is the stretch that a band of diagonals allows, so that this is the alignment within the band.
+    """
     peq: dict[int, int] = {}
     for i, c in enumerate(pattern):
         peq[c] = peq.get(c, 0) | 1 << i

@@ -201,15 +201,20 @@ class FilterCompiler:
         """Whether the words stand near each other in one field; None if the conjunction asks for no places."""
         if node.slop is None and not node.inorder or sum(self._placed(c) for c in node.children) < 2:
             return None
-        fields = [f.alias for f in self.schema.of_kind("TEXT")]
-        tests = [F.size(s) > 0 for f in fields if (s := self._spans(node, f, nested=False)) is not None]
+        placed, tests = [c for c in node.children if self._placed(c)], []
+        for f in self.schema.of_kind("TEXT"):
+            words = [c.text for c in placed if isinstance(c, Word) and f.alias in c.fields and self._fixed(c, f.alias) == [c.text]]
+            if self.schema.offsets and node.slop is not None and not node.inorder and len(placed) > MAX_ORDERS and len(set(words)) == len(placed):
+                tests.append(self._within(words, f.alias, node.slop))
+            elif (spans := self._spans(node, f.alias)) is not None:
+                tests.append(F.size(spans) > 0)
         return reduce(or_, tests) if tests else F.lit(False)
 
     def _placed(self, node: Node) -> bool:
         return isinstance(node, Word) or isinstance(node, (And, Or)) and any(map(self._placed, node.children))
 
-    def _spans(self, node: Node, field: str, nested: bool = True) -> Column | None:
-        """The places of node in a field, as sorted (s, e) structs; None if it cannot stand there. Not nested: whether there are any is all that counts."""
+    def _spans(self, node: Node, field: str) -> Column | None:
+        """The places of node in a field, as sorted (s, e) structs; None if it cannot stand there."""
         if isinstance(node, Word):
             if field not in node.fields:
                 return None
@@ -233,9 +238,6 @@ class FilterCompiler:
             return F.array_sort(F.concat(*parts))
         if len(parts) <= MAX_ORDERS:
             return F.array_sort(F.array_distinct(F.concat(*(self._in_order(list(p), node.slop, strict=True) for p in permutations(parts)))))
-        words = [c.text for c in placed if isinstance(c, Word) and self._fixed(c, field) == [c.text]]
-        if not nested and self.schema.offsets and len(set(words)) == len(placed):
-            return self._within(parts, node.slop)
         return self._hidden((node, field), lambda: any_order_column(parts, node.slop))
 
     def _in_order(self, parts: list[Column], slop: int | None, strict: bool = False) -> Column:
@@ -258,8 +260,15 @@ class FilterCompiler:
             chain = F.filter(chain, lambda x: x["gaps"] <= slop)
         return F.transform(chain, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
 
-    def _within(self, parts: list[Column], slop: int) -> Column:
-        """Places from which all parts begin within slop words besides their own: for single words that differ, of which no place can be two, this is every order of them."""
-        reach = slop + len(parts) - 1
-        starts = F.array_sort(F.array_distinct(F.concat(*parts)))
-        return F.filter(starts, lambda u: reduce(and_, (F.exists(p, lambda v: (v["s"] >= u["s"]) & (v["s"] <= u["s"] + reach)) for p in parts)))
+    def _within(self, words: list[str], field: str, slop: int) -> Column:
+        """Whether single words that differ, of which no place can be two, stand within slop others in any order: one pass over the places, with the last one of each word."""
+        reach, unseen = slop + len(words) - 1, -(1 << 30)
+        listed = F.array(*map(F.lit, words))
+        at = F.filter(F.transform(self._column(field), lambda t, i: F.struct(F.array_position(listed, t).alias("k"), i.alias("s"))), lambda x: x["k"] > 0)
+        start = F.struct(F.lit(False).alias("near"), *(F.lit(unseen).alias(f"w{k}") for k in range(len(words))))
+
+        def step(state: Column, x: Column) -> Column:
+            last = [F.when(x["k"] == k + 1, x["s"]).otherwise(state[f"w{k}"]) for k in range(len(words))]
+            return F.struct((state["near"] | (F.least(*last) >= x["s"] - reach)).alias("near"), *(c.alias(f"w{k}") for k, c in enumerate(last)))
+
+        return F.aggregate(at, start, step, lambda state: state["near"])

@@ -187,6 +187,8 @@ def test_counts_of_other_types(odd, odd_rows):
         rows = odd.where("doc_id = 9").withColumn("n_chars", odd["n_chars"].cast(kind))
         out = secret_scan.redact_secrets(rows, count_col="n_chars")
         assert out.schema == rows.schema and [float(r.n_chars) for r in out.collect()] == [21.0]
+    long = odd.where("doc_id = 9").selectExpr("concat(text, repeat(' x', 200)) AS text", "1Y AS n_chars", "doc_id")
+    assert [r.n_chars for r in secret_scan.redact_secrets(long, count_col="n_chars").collect()] == [None]
     rows = odd.where("doc_id = 9").selectExpr("text", "array(n_chars) AS n_chars")
     assert [r.n_chars for r in secret_scan.redact_secrets(rows, count_col="n_chars").collect()] == [[len(next(t for i, t, *_ in odd_rows if i == 9))]]
 

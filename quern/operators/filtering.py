@@ -55,6 +55,20 @@ class FilterCompiler:
         near = self._near(node)
         return found if near is None else found & near
 
+    def hint(self, node: Node) -> Column | None:
+        """What must hold wherever node does, in tests that a scan can do; None if there is nothing of the kind. An alternative reaches the scan in no other way."""
+        if isinstance(node, NumericRange):
+            return self._bounds(node) if self._raw(self.schema.field(node.field))[1] in ("tinyint", "smallint", "int", "bigint", "float", "double") else None
+        if isinstance(node, Tags):
+            return self._tag_text(node)
+        if isinstance(node, And):
+            some = [h for c in node.children if (h := self.hint(c)) is not None]
+            return reduce(and_, some) if some else None
+        if isinstance(node, Or):
+            every = [self.hint(c) for c in node.children]
+            return None if any(h is None for h in every) else reduce(or_, every)
+        return None
+
     def _column(self, alias: str) -> Column:
         return F.col(f"`{self.schema.field(alias).column}`")
 
@@ -67,6 +81,11 @@ class FilterCompiler:
         return lambda t: t.startswith(prefix)
 
     def _range(self, node: NumericRange) -> Column:
+        found, (raw, kind) = self._bounds(node), self._raw(self.schema.field(node.field))
+        # what is no number is above any bound
+        return found & ~F.isnan(raw) if kind in ("float", "double") and node.high == math.inf and not node.high_open else found
+
+    def _bounds(self, node: NumericRange) -> Column:
         """Bare comparisons of the stored column where it is a number, which the scan can use."""
         field = self.schema.field(node.field)
         raw, kind = self._raw(field)
@@ -77,15 +96,12 @@ class FilterCompiler:
             if node.high < math.inf:
                 tests.append(raw <= (math.ceil(node.high) - 1 if node.high_open else math.floor(node.high)))
             return reduce(and_, tests) if tests else raw.isNotNull()
-        stored = kind in ("float", "double")
-        c = raw if stored else self._column(node.field)
+        c = raw if kind in ("float", "double") else self._column(node.field)
         low = c > node.low if node.low_open else c >= node.low
         high = c < node.high if node.high_open else c <= node.high
         if node.low == -math.inf and not node.low_open:
             low = c.isNotNull()
-        if node.high == math.inf and not node.high_open:
-            return low & ~F.isnan(c) if stored else low  # no number is above any bound
-        return low & high
+        return low if node.high == math.inf and not node.high_open else low & high
 
     def _tags(self, node: Tags) -> Column:
         field = self.schema.field(node.field)
@@ -97,14 +113,18 @@ class FilterCompiler:
             tests.append(F.arrays_overlap(c, F.array(*map(F.lit, node.exact))))
         for p in node.prefixes:
             tests.append(F.exists(c, self._begins(p)))
-        found = reduce(or_, tests)
+        found, text = reduce(or_, tests), self._tag_text(node)
+        return found if text is None else text & found
+
+    def _tag_text(self, node: Tags) -> Column | None:
+        """What the scan can test: the stored text has one of the tags in it, or where case is folded its first letter."""
+        field = self.schema.field(node.field)
         raw, kind = self._raw(field)
         wanted = [t for t in (*node.exact, *node.prefixes) if t]
         if kind != "string" or len(wanted) > _HINTS or len(wanted) < len(node.exact) + len(node.prefixes):
-            return found
-        # what the scan can test: the stored text has the tag in it, or where case is folded its first letter
+            return None
         parts = wanted if field.case_sensitive else [x for t in wanted for x in ((t,) if t.upper() == t.lower() else (t[0].lower(), t[0].upper()) if t[0].isascii() else (t[0],))]
-        return reduce(or_, (raw.contains(x) for x in dict.fromkeys(parts))) & found
+        return reduce(or_, (raw.contains(x) for x in dict.fromkeys(parts)))
 
     # -- words
 

@@ -57,8 +57,8 @@ def find(source: DataFrame, schema: IndexSchema, query: str, settings: Settings,
     rows = prepare(source, schema, settings, key)
     if not isinstance(node, MatchAll):
         compiler = FilterCompiler(schema, settings, rows)
-        matches = compiler.column(node)
-        rows = compiler.rows.where(matches)
+        matches, hint = compiler.column(node), compiler.hint(node)
+        rows = compiler.rows.where(matches if hint is None else hint & matches)
     if neighbours is None:
         return Hits(rows, None, (F.col(KEY),))
     knn = parse_knn(neighbours, schema, options.params, used)

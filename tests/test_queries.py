@@ -43,6 +43,7 @@ def plan(df):
 
 def pushed(df):
     """What each scan is given to test."""
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "5000")
     return [line.split("PushedFilters: [")[1].split("], ReadSchema")[0] for line in plan(df).split("\n") if "PushedFilters: [" in line]
 
 
@@ -55,6 +56,7 @@ def pushed(df):
         ("num_minus_inf", ["LessThanOrEqual(o_totalprice,5000.0)"]),
         ("bool_and", ["GreaterThanOrEqual(o_totalprice,100000.0)", "StringContains(o_orderstatus,o)", "StringContains(o_orderstatus,O)"]),
         ("bool_or", ["GreaterThan(o_totalprice,290000.0)", "StringContains(o_orderstatus,P)"]),
+        ("bool_precedence", ["LessThanOrEqual(o_totalprice,100000.0)", "GreaterThanOrEqual(o_totalprice,200000.0)", "StringContains(o_orderstatus,F)"]),
         ("tag_exact", ["StringContains(o_orderstatus,F)"]),
         ("tag_case", ["StringContains(p_type,SMALL)", "StringContains(p_type,ECONOMY)"]),
         ("search_limit_offset", ["StringContains(o_orderstatus,O)"]),

@@ -77,7 +77,7 @@ def test_table(odd, none, documents, items, spark):
     pairs = {(d, m[0]): m for d, t in texts.items() for m in index.matches(t)}
     assert {(d, i) for d, t in texts.items() for i, b in items if b in t} <= set(pairs)
     # one block, several with one table, several tables
-    for how in ({}, {"block_bytes": 2000}, {"block_bytes": 1500, "table_bytes": 4000}):
+    for how in ({}, {"block_bytes": 5000}, {"block_bytes": 4000, "table_bytes": 4000}):
         got = {r.doc_id: r for r in decontam.contaminated(documents, bench, **how).collect()}
         assert set(got) == {d for d, _ in pairs}
         for d, r in got.items():
@@ -91,14 +91,14 @@ def test_table(odd, none, documents, items, spark):
         clean = decontam.drop_contaminated(documents, bench, **how)
         assert {r.doc_id for r in clean.collect()} == set(texts) - {d for d, _ in pairs} and clean.columns == documents.columns
     assert decontam.contaminated(odd, bench).count() == 0 and decontam.drop_contaminated(odd, bench).count() == odd.count()
-    assert decontam.contaminated(none, bench).count() == 0 and decontam.drop_contaminated(none, bench, block_bytes=2000).count() == 0
+    assert decontam.contaminated(none, bench).count() == 0 and decontam.drop_contaminated(none, bench, block_bytes=5000).count() == 0
     empty = spark.createDataFrame([(1, None), (None, "x"), (2, ""), (3, "tiny")], "item_id bigint, text string")
     assert decontam.contaminated(odd, empty).count() == 0
     assert decontam.contaminated(odd, bench.limit(0)).count() == 0
     # repeated rows are each returned, whatever their ids
     first = documents.where(documents.doc_id == min(d for d, _ in pairs))
     again = first.unionByName(first).selectExpr("CAST(NULL AS bigint) AS doc_id", "text", "text AS item_id")
-    assert [r.doc_id for r in decontam.contaminated(again, bench, block_bytes=2000).collect()] == [None, None]
+    assert [r.doc_id for r in decontam.contaminated(again, bench, block_bytes=5000).collect()] == [None, None]
 
 
 def test_repetitive_texts(monkeypatch):

@@ -1,7 +1,7 @@
 """Secrets in texts: fixed patterns, and character Markov models for strings that no pattern names.
 
 First-order Markov chains over characters are trained on random strings, others on ordinary
-identifiers and on words of the documents themselves, a chain for each make of strings (which
+identifiers and on the words of all documents, a chain for each make of strings (which
 of lower case, capitals, digits and other characters they have). A run of characters is a
 secret where the log-likelihood ratio, of the likeliest random chain to the likeliest ordinary
 one, passes a threshold. The ratio is a sum over transitions, so that a short string needs
@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from decimal import Decimal
 
@@ -39,8 +40,11 @@ _RUN = "A-Za-z0-9+/_-"
 CANDIDATE = re.compile(rf"(?<![{_RUN}\u00c0-\u024f])[{_RUN}]{{{LEAST_MARKOV},}}(?![{_RUN}\u00c0-\u024f])")
 #: Words of the documents that ordinary chains learn from.
 _ORDINARY = re.compile(rf"(?<![{_RUN}\u00c0-\u024f])[{_RUN}]{{4,}}(?![{_RUN}\u00c0-\u024f])")
-#: Documents whose words are learned from, about so many, drawn evenly.
-TRAIN_DOCS = 2000
+#: The words of all documents are counted; those of more documents than this weigh as much as so many documents' do, or
+#: the labelled samples, and with them the threshold, would mean less the larger a table is.
+WEIGHT_DOCS = 2000
+#: Characters of text whose words are counted before their transitions are: bounds memory.
+_COUNTED = 1 << 20
 
 #: Word stems from which ordinary identifiers are made, as labelled samples.
 STEMS = (
@@ -92,15 +96,16 @@ class Transitions:
         return np.clip(np.frombuffer(text.encode("ascii", "replace"), np.uint8).astype(np.int64) - 32, 0, cls.SIZE - 1)
 
     def add(self, texts: Iterable[str], label: int) -> None:
-        """Counts the transitions within each text: those of one make together, set apart by spaces, which no text has."""
-        by_make: dict[int, list[str]] = {}
-        for t in texts:
-            by_make.setdefault(make_of(t), []).append(t)
+        """Counts the transitions within each text (a Counter's as often as it says): those of one make together, set apart by spaces, which no text has."""
+        by_make: dict[int, list[tuple[str, int]]] = {}
+        for t, n in Counter(texts).items():
+            by_make.setdefault(make_of(t), []).append((t, n))
         for make, some in by_make.items():
-            c = self.codes(" ".join(some))
+            c = self.codes(" ".join(t for t, _ in some))
+            times = np.repeat([float(n) for _, n in some], [len(t) + 1 for t, _ in some])[:-1]
             inside = (c[:-1] > 0) & (c[1:] > 0)
             pairs = c[:-1][inside] * self.SIZE + c[1:][inside]
-            self.of(label, make)[:] += np.bincount(pairs, minlength=self.SIZE**2).reshape(self.SIZE, self.SIZE)
+            self.of(label, make)[:] += np.bincount(pairs, times[:-1][inside], self.SIZE**2).reshape(self.SIZE, self.SIZE)
 
     def of(self, label: int, make: int) -> np.ndarray:
         return self.counts.setdefault((label, make), np.zeros((self.SIZE, self.SIZE)))
@@ -130,31 +135,54 @@ class MarkovRatio:
         return float(sums[: self.n_random].max() - sums[self.n_random :].max())
 
 
-def word_transitions(docs: DataFrame, text_col: str, max_docs: int, into: Transitions) -> None:
-    """Adds the words, outside base spans, of about max_docs documents drawn evenly. What is collected are sums: 16 makes of 95 x 95 at most."""
+def word_transitions(docs: DataFrame, text_col: str, into: Transitions) -> None:
+    """Adds the words, outside base spans, of all documents, weighed as WEIGHT_DOCS says. What is collected are sums: 16 makes of 95 x 95 at most.
+
+    Words as long as candidates that pass by the chains held so far teach nothing: keys in the documents would pass for ordinary, each by its own transitions.
+    """
     n = docs.count()
     if not n:
         return
-    drawn = docs.sample(False, min(1.0, max_docs / n), seed=17) if n > max_docs else docs
+    alone = MarkovRatio(into)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Transitions()
+        found, words, held = Transitions(), Counter(), 0
+
+        def count() -> None:
+            for w in [w for w in words if len(w) >= LEAST_MARKOV and alone.score(w) > THRESHOLD]:
+                del words[w]
+            found.add(words, 0)
+            capitals = Counter()
+            for w, times in words.items():
+                if w.isalpha():
+                    capitals[w.upper()] += times  # any word may stand in capitals
+            found.add(capitals, 0)
+            words.clear()
+
         for b in batches:
-            for text in b.column(0):
-                words = list(ordinary_words(text.as_py() or ""))
-                found.add(words, 0)
-                found.add([w.upper() for w in words if w.isalpha()], 0)  # any word may stand in capitals
+            for item in b.column(0):
+                text = item.as_py() or ""
+                words.update(ordinary_words(text))
+                held += len(text)
+                if held >= _COUNTED:
+                    count()
+                    held = 0
+        count()
         for (_, make), counts in found.counts.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), make)), pa.array(at), pa.array(counts.ravel()[at])], names=["make", "at", "n"])
 
-    for r in drawn.select(F.col(text_col).alias("t")).mapInArrow(run, "make bigint, at bigint, n double").groupBy("make", "at").agg(F.sum("n").alias("n")).collect():
-        into.of(0, r.make).ravel()[r.at] += r.n
+    share = min(1.0, WEIGHT_DOCS / n)
+    for r in docs.select(F.col(text_col).alias("t")).mapInArrow(run, "make bigint, at bigint, n double").groupBy("make", "at").agg(F.sum("n").alias("n")).collect():
+        into.of(0, r.make).ravel()[r.at] += r.n * share
 
 
 def ordinary_words(text: str) -> Iterator[str]:
     """The runs that no base span touches."""
     base, k, end = base_spans(text), 0, 0
+    if not base:
+        yield from _ORDINARY.findall(text)
+        return
     for m in _ORDINARY.finditer(text):
         while k < len(base) and base[k][0] < m.end():
             end = max(end, base[k][2])
@@ -163,8 +191,8 @@ def ordinary_words(text: str) -> Iterator[str]:
             yield m[0]
 
 
-def train(docs: DataFrame | None = None, samples: DataFrame | None = None, text_col: str = "text", label_col: str = "label", max_rows: int = 20_000, max_docs: int = TRAIN_DOCS) -> MarkovRatio:
-    """Models from labelled samples (1 random, 0 ordinary; at most max_rows of them by hash order; default_samples() if none are given) and, as ordinary ones, the words of docs. Runs its jobs at once."""
+def train(docs: DataFrame | None = None, samples: DataFrame | None = None, text_col: str = "text", label_col: str = "label", max_rows: int = 20_000) -> MarkovRatio:
+    """Models from labelled samples (1 random, 0 ordinary; at most max_rows of them by hash order; default_samples() if none are given) and, as ordinary ones, the words of all docs that do not pass by the samples alone. Runs its jobs at once."""
     if samples is None:
         labelled = default_samples()
     else:
@@ -174,7 +202,7 @@ def train(docs: DataFrame | None = None, samples: DataFrame | None = None, text_
     for label in (0, 1):
         transitions.add([t.replace(" ", "") for t, la in labelled if la == label], label)
     if docs is not None:
-        word_transitions(docs, text_col, max_docs, transitions)
+        word_transitions(docs, text_col, transitions)
     return MarkovRatio(transitions)
 
 

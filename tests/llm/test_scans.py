@@ -5,6 +5,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 
 from quern.llm import license_scan, queries, secret_scan
@@ -181,6 +182,43 @@ def test_train_from_table(spark):
     assert model.score("9fK2mQz7Xb4TnL8vRc3W") > 0 > model.score("customer_order_manager")
 
 
+@pytest.mark.parametrize("n", [50, 3 * secret_scan.WEIGHT_DOCS])
+def test_words_of_all_documents(spark, n):
+    """The words of every document are counted, however many there are; those of many weigh as those of WEIGHT_DOCS. Base spans teach nothing."""
+    docs = spark.range(n).selectExpr("concat('some words, w', conv(id, 10, 36), repeat(' a b', 200), ' and again no-', id, if(id % 7 = 0, ' token = abcdefghijklmnop', '')) AS text").repartition(3)
+    want = secret_scan.Transitions()
+    for label in (0, 1):
+        want.add([t for t, la in secret_scan.default_samples() if la == label], label)
+    for i in range(n):
+        words = [w for w in ("some", "words", "w" + np.base_repr(i, 36), "again", f"no-{i}") if len(w) >= 4]
+        for w in words + [w.upper() for w in words if w.isalpha()]:
+            for a, b in zip(w[:-1], w[1:], strict=True):
+                want.of(0, secret_scan.make_of(w))[ord(a) - 32, ord(b) - 32] += min(1, secret_scan.WEIGHT_DOCS / n)
+    assert np.allclose(secret_scan.train(docs).log, secret_scan.MarkovRatio(want).log, rtol=0, atol=1e-9)
+
+
+def test_repeated_words_count_each_time():
+    got, want = secret_scan.Transitions(), secret_scan.Transitions()
+    got.add(["abca", "", "A-1", "abca", "xyz", "abca"], 0)
+    for w in ("abca", "abca", "abca", "xyz", "A-1"):
+        for a, b in zip(w[:-1], w[1:], strict=True):
+            want.of(0, secret_scan.make_of(w))[ord(a) - 32, ord(b) - 32] += 1
+    assert all((got.of(*k) == want.of(*k)).all() for k in {**got.counts, **want.counts})
+
+
+def test_keys_in_what_is_learned_from(spark, documents):
+    """Keys in one document of twenty, or in each, are found by a model that learns from these documents; their words are not."""
+    rng = random.Random(8)
+    texts = [r.text for r in documents.orderBy("doc_id").collect() if r.text]
+    words = {w for t in texts for w in secret_scan.ordinary_words(t) if len(w) >= 12}
+    for every in (20, 1):
+        keys = ["".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789") for _ in range(rng.randint(12, 40))) for _ in texts[::every]]
+        planted = [f"{t} {keys[i // every]}" if i % every == 0 else t for i, t in enumerate(texts)]
+        model = secret_scan.train(spark.createDataFrame([(t,) for t in planted], "text string"))
+        assert sum(model.score(k) > secret_scan.THRESHOLD for k in keys) > 0.98 * len(keys)
+        assert sum(model.score(w) > secret_scan.THRESHOLD for w in words) == 0
+
+
 def test_counts_of_other_types(odd, odd_rows):
     """A clashing n_chars column: strings and doubles get the number, a list is left alone."""
     for kind in ("string", "double", "smallint", "decimal(20,2)"):

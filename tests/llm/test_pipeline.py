@@ -1,6 +1,7 @@
 """The pipeline against its stages done plainly, one document at a time."""
 
 import hashlib
+import random
 
 import corpus_pipeline
 import pytest
@@ -71,6 +72,22 @@ def test_against_plain_stages(spark):
     assert {tuple(r) for r in corpus_pipeline.run(spark, D).collect()} == want
 
 
+def test_secrets_learn_from_every_document(spark):
+    """Of many documents, twelve spell out an odd word of their own, which stays; twelve others hold a key, which goes."""
+    rng, n = random.Random(2), 6000
+    at = rng.sample(range(n), 24)
+    odd_words = {i: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(16)) for i in at[:12]}
+    keys = {i: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789") for _ in range(24)) for i in at[12:]}
+
+    def text(i, key):
+        parts = f"{odd_words[i][:8]} {odd_words[i][4:12]} {odd_words[i][8:]} " * 200 + odd_words[i] if i in odd_words else ""
+        return f"a plain line of the document number {i} with {key} {parts}"
+
+    docs = spark.createDataFrame([(i, text(i, keys.get(i, "none"))) for i in range(n)], "doc_id bigint, text string").repartition(4)
+    out = {r.doc_id: r.text for r in corpus_pipeline.replace_secrets(spark, docs, D).collect()}
+    assert out == {i: text(i, "[SECRET]" if i in keys else "none") for i in range(n)}
+
+
 def test_stages_keep_columns(spark, odd, none):
     for docs in (odd, none):
         at = docs

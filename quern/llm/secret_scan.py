@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from decimal import Decimal
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import slices
+from quern.llm.common import materialize, release, scratch_mark, slices
 
 #: The base patterns, kinds in the order that breaks ties, least lengths.
 KINDS = ("assign", "access", "hex", "markov")
@@ -36,7 +37,7 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
 #: What the models judge: a whole run of these characters.
 LEAST_MARKOV = 12
-_RUN = "A-Za-z0-9+/_-"
+_RUN = r"A-Za-z0-9+/_\-"
 CANDIDATE = re.compile(rf"(?<![{_RUN}\u00c0-\u024f])[{_RUN}]{{{LEAST_MARKOV},}}(?![{_RUN}\u00c0-\u024f])")
 #: Words of the documents that ordinary chains learn from.
 _ORDINARY = re.compile(rf"(?<![{_RUN}\u00c0-\u024f])[{_RUN}]{{4,}}(?![{_RUN}\u00c0-\u024f])")
@@ -138,43 +139,66 @@ class MarkovRatio:
 def word_transitions(docs: DataFrame, text_col: str, into: Transitions) -> None:
     """Adds the words, outside base spans, of all documents, weighed as WEIGHT_DOCS says. What is collected are sums: 16 makes of 95 x 95 at most.
 
-    Words as long as candidates that pass by the chains held so far teach nothing: keys in the documents would pass for ordinary, each by its own transitions.
+    Keys in the documents would pass for ordinary, each by its own transitions. So words as long as candidates that pass by the
+    chains held so far are set aside, and judged again by the chains that the other words give, until those left all pass: only they are not learned.
     """
     n = docs.count()
     if not n:
         return
-    alone = MarkovRatio(into)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, words, held = Transitions(), Counter(), 0
-
-        def count() -> None:
-            for w in [w for w in words if len(w) >= LEAST_MARKOV and alone.score(w) > THRESHOLD]:
-                del words[w]
-            found.add(words, 0)
-            capitals = Counter()
-            for w, times in words.items():
-                if w.isalpha():
-                    capitals[w.upper()] += times  # any word may stand in capitals
-            found.add(capitals, 0)
-            words.clear()
-
-        for b in batches:
-            for item in b.column(0):
-                text = item.as_py() or ""
-                words.update(ordinary_words(text))
-                held += len(text)
-                if held >= _COUNTED:
-                    count()
-                    held = 0
-        count()
-        for (_, make), counts in found.counts.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), make)), pa.array(at), pa.array(counts.ravel()[at])], names=["make", "at", "n"])
-
-    share = min(1.0, WEIGHT_DOCS / n)
-    for r in docs.select(F.col(text_col).alias("t")).mapInArrow(run, "make bigint, at bigint, n double").groupBy("make", "at").agg(F.sum("n").alias("n")).collect():
-        into.of(0, r.make).ravel()[r.at] += r.n * share
+    spark, begun, share = docs.sparkSession, scratch_mark(), min(1.0, WEIGHT_DOCS / n)
+    rows, step = docs.select(F.col(text_col).alias("t")), _learn_texts
+    while True:
+        learned = rows.mapInArrow(partial(step, MarkovRatio(into)), "make bigint, at bigint, word string, n double")
+        learned = materialize(learned.groupBy("make", "at", "word").agg(F.sum("n").alias("n")), "words")
+        sums = learned.where("word IS NULL").collect()
+        for r in sums:
+            into.of(0, r.make).ravel()[r.at] += r.n * share
+        rows, step = learned.where("word IS NOT NULL").select("word", "n"), _learn_words
+        if not sums or rows.isEmpty():
+            break
+    release(spark, begun)
+
+
+def _learn_texts(model: MarkovRatio, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of texts: sums of the transitions of words that do not pass by the model, and, with how often they occur, the words that do."""
+    found, words, held = Transitions(), Counter(), 0
+    for b in batches:
+        for item in b.column(0):
+            text = item.as_py() or ""
+            words.update(ordinary_words(text))
+            held += len(text)
+            if held >= _COUNTED:
+                yield _learn(words, model, found)
+                words, held = Counter(), 0
+    yield _learn(words, model, found)
+    yield from _sums(found)
+
+
+def _learn_words(model: MarkovRatio, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same of distinct words and how often they occur."""
+    found = Transitions()
+    for b in batches:
+        yield _learn(Counter(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))), model, found)
+    yield from _sums(found)
+
+
+def _learn(words: Counter, model: MarkovRatio, into: Transitions) -> pa.RecordBatch:
+    """Adds the words that do not pass and returns those that do."""
+    aside = {w: float(words.pop(w)) for w in [w for w in words if len(w) >= LEAST_MARKOV and model.score(w) > THRESHOLD]}
+    into.add(words, 0)
+    capitals = Counter()
+    for w, times in words.items():
+        if w.isalpha():
+            capitals[w.upper()] += times  # any word may stand in capitals
+    into.add(capitals, 0)
+    none = pa.nulls(len(aside), pa.int64())
+    return pa.RecordBatch.from_arrays([none, none, pa.array(aside, pa.string()), pa.array(aside.values(), pa.float64())], names=["make", "at", "word", "n"])
+
+
+def _sums(found: Transitions) -> Iterator[pa.RecordBatch]:
+    for (_, make), counts in found.counts.items():
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), make)), pa.array(at), pa.nulls(len(at), pa.string()), pa.array(counts.ravel()[at])], names=["make", "at", "word", "n"])
 
 
 def ordinary_words(text: str) -> Iterator[str]:

@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from quern.llm import bpe, decontam, langid, queries, secret_scan
@@ -26,6 +28,14 @@ def plainly_contaminated(windows, text):
     return any(w.text in raw or len(held & g) >= len(g) - w.edits * decontam.Q and decontam.least_edits(w.text, raw)[0] <= w.edits for w, g in windows)
 
 
+def plain_words(text):
+    """Whole runs of 4 characters or more that no base span touches."""
+    base, edge = [(int(a), int(b)) for _, a, b in (x.split(":") for x in brute_secrets(text).split(",") if x)], RUN | set(map(chr, range(0xC0, 0x250)))
+    for a, b in runs(text):
+        if b - a >= 4 and not (a and text[a - 1] in edge) and not (b < len(text) and text[b] in edge) and not any(x < b and y > a for x, y in base):
+            yield text[a:b]
+
+
 def plainly_redacted(text, model):
     """Base spans as the contract words them, runs of 12 characters or more found by hand; what overlaps becomes one mark."""
     spans = [(int(a), int(b)) for _, a, b in (x.split(":") for x in brute_secrets(text).split(",") if x)]
@@ -88,6 +98,32 @@ def test_secrets_learn_from_every_document(spark):
     assert out == {i: text(i, "[SECRET]" if i in keys else "none") for i in range(n)}
 
 
+def test_secrets_learn_every_word(spark):
+    """All words of all documents are learned, counted by hand: long ones that pass by the labelled samples alone too, words between odd marks, but no parts of words with accents."""
+    texts = [r.text or "" for r in spark.read.parquet(f"{D}/documents.parquet").collect()]
+    texts += ["`quoted` {braced} |barred| ~waved~ \u00a0spaced\u00a0 «cited», r\u00e9unions \u00c4rztehaus d\u00e9veloppementale"]
+    words, alone = Counter(w for t in texts for w in plain_words(t)), secret_scan.train()
+    assert sum(alone.score(w) > secret_scan.THRESHOLD for w in words if len(w) >= 12) > 100
+    want = secret_scan.Transitions()
+    for label in (0, 1):
+        want.add([t for t, la in secret_scan.default_samples() if la == label], label)
+    for word, n in words.items():
+        for w in [word, word.upper()] if word.isalpha() else [word]:
+            for a, b in zip(w[:-1], w[1:], strict=True):
+                want.of(0, secret_scan.make_of(w))[ord(a) - 32, ord(b) - 32] += n * min(1, secret_scan.WEIGHT_DOCS / len(texts))
+    model = secret_scan.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    assert np.allclose(model.log, secret_scan.MarkovRatio(want).log, rtol=0, atol=1e-9)
+
+
+def test_secrets_between_odd_marks(spark):
+    """A key between marks that no word holds goes, whatever marks; one that touches a letter with an accent is no whole run."""
+    key = "9fK2mQz7Xb4TnL8vRc3W"
+    texts = [f"the key {a}{key}{b} of a line" for a, b in ("``", "{}", "||", "~~", "\u00a0\u00a0", "«»", "()", ";.")]
+    docs = spark.createDataFrame(list(enumerate([*texts, f"the key \u00e9{key} of a line"])), "doc_id bigint, text string")
+    out = {r.doc_id: r.text for r in corpus_pipeline.replace_secrets(spark, docs, D).collect()}
+    assert out == {**{i: t.replace(key, "[SECRET]") for i, t in enumerate(texts)}, len(texts): f"the key \u00e9{key} of a line"}
+
+
 def test_stages_keep_columns(spark, odd, none):
     for docs in (odd, none):
         at = docs

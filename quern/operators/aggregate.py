@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.reducers import first_value_descending, reducer
 from quern.functions.scalars import call
-from quern.functions.values import ARITHMETIC, ARR, BOOL, COMPARISONS, NUM, STR, Val, arithmetic, order_of, truthy
+from quern.functions.values import ARITHMETIC, ARR, BOOL, COMPARISONS, NUM, STR, Val, arithmetic, as_number, order_of, truthy
 from quern.operators.search import SearchOptions, check_params, find
 from quern.plans.expressions import Binary, Call, Expr, Invert, Number, Ref, Text, parse_expression
 from quern.plans.schema import KEY, NUMERIC, VECTOR, IndexSchema, QueryError, Settings
@@ -195,9 +195,16 @@ def _group(r: Records, stage: GroupBy) -> Records:
     keys = [v.col.alias(f"g:{name}") for name, v in groups.items()]
     names = {name: Val(F.col(f"`g:{name}`"), v.kind, v.item) for name, v in groups.items()}
     rows_order = F.struct(*(F.struct(c.isNull().alias("n"), c.alias("c")) for c in _plain(r)))
-    built = []
+    built: list[Column] = []
+    ranked: dict[str, tuple[Val, list[Column]]] = {}
     for n, red in enumerate(stage.reducers):
         values = [r.value(a) for a in red.args]
+        if red.by is None and reducer(red.function, len(values)).ranked:
+            number = Val(F.col("number"), NUM)
+            v = reducer(red.function, len(values)).build([number, *values[1:]], F.col("rank"))
+            ranked.setdefault(red.args[0], (values[0], []))[1].append(v.col.alias(f"r:{n}"))
+            names[red.name or default_name(red, r.settings)] = Val(F.col(f"`r:{n}`"), v.kind, v.item)
+            continue
         if red.by is not None:
             by = r.value(red.by[0])
             v = reducer(red.function, 3).build([*values, by], rows_order) if red.by[1] else first_value_descending(values[0], by, rows_order)
@@ -206,11 +213,34 @@ def _group(r: Records, stage: GroupBy) -> Records:
         name = red.name or default_name(red, r.settings)
         built.append(v.col.alias(f"r:{n}"))
         names[name] = Val(F.col(f"`r:{n}`"), v.kind, v.item)
-    rows = r.rows.groupBy(*keys).agg(*built) if built else r.rows.select(*keys).distinct()
+    tables = [_ranks(r.rows, keys, v).groupBy(*(F.col(f"`g:{g}`") for g in groups)).agg(*of) for v, of in ranked.values()]
+    if built or not tables:
+        tables.insert(0, r.rows.groupBy(*keys).agg(*built) if built else r.rows.select(*keys).distinct())
+    rows = tables[0]
+    for more in tables[1:]:
+        rows = _beside(rows, more, tuple(groups))
     order = tuple(F.col(f"`g:{name}`").asc_nulls_last() for name in groups)
     return Records(rows, names, tuple(names), order, r.settings, r.params, r.used)
 
 
+def _ranks(rows: DataFrame, keys: list[Column], v: Val) -> DataFrame:
+    """Each group's distinct numbers, with the rows up to each and all that have one; Nil stands first, for groups without numbers.
+    Rows are counted by number before a group comes together, and sorted with spills, so that no task holds a group in memory."""
+    counted = rows.select(*keys, as_number(v).alias("number"))
+    groups = [F.col(f"`{c}`") for c in counted.columns[:-1]]
+    counted = counted.groupBy(*groups, "number").agg(F.count("number").alias("n"))
+    group = Window.partitionBy(*groups)
+    upto = F.sum("n").over(group.orderBy("number").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return counted.select(*groups, "number", F.struct(upto.alias("upto"), F.sum("n").over(group).alias("all")).alias("rank"))
+
+
+def _beside(rows: DataFrame, more: DataFrame, groups: tuple[str, ...]) -> DataFrame:
+    """Two tables of the same groups as one; Nil is a group too."""
+    more = more.withColumnsRenamed({f"g:{g}": f"j:{g}" for g in groups})
+    same = [F.col(f"`g:{g}`").eqNullSafe(F.col(f"`j:{g}`")) for g in groups]
+    return rows.join(more, same).drop(*(f"j:{g}" for g in groups))
+
+
 def _plain(r: Records) -> list[Column]:
     """The rows' order as plain columns, for what compares rows within a group."""
     return [r.names[KEY].col] if KEY in r.names else [v.col for v in r.names.values() if v.kind != ARR]

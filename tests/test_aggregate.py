@@ -212,3 +212,26 @@ def test_user_functions(one):
         assert value(one[0], "twice(@n)") == 14.0
     finally:
         del FUNCTIONS["twice"]
+
+
+def test_quantiles_and_distinct_counts_are_exact(spark):
+    """Numbers of which each is its own rank, so that a rank beside the right one shows; Nil is left out, NaN is greatest, groups may be Nil."""
+    n = 50_000
+    rows = spark.range(1, n + 1, numPartitions=7).selectExpr(f"id AS {KEY}", "if(id % 2 = 0, 'even', null) AS g", f"cast(pmod(id * 7919, {n}) + 1 AS double) AS x", "if(id % 2 = 0, null, 1.0) AS y")
+    e = Engine(spark)
+    e.create(IndexSchema("i", (Field("g", TAG), Field("x", NUMERIC), Field("y", NUMERIC))), rows.withColumn(KEY, rows[KEY].cast("string")))
+
+    def reduced(*reducers):
+        return {r[0]: tuple(r)[1:] for r in e.aggregate("i", "*", Apply("@y / (@x - 2)", "z"), GroupBy(("g",), reducers)).collect()}
+
+    shares = ("0", "0.00002", "0.07", "0.5", "0.70001", "0.99999", "1")
+    got = reduced(*(Reduce("QUANTILE", ("@x", s), s) for s in shares), Reduce("COUNT_DISTINCTISH", ("@x",), "d"))
+    ranks = (1, 1, 1750, 12_500, 17_501, 25_000, 25_000)
+    assert got == {"even": (*(2.0 * r - 1 for r in ranks), 25_000.0), None: (*(2.0 * r for r in ranks), 25_000.0)}
+    between = reduced(Reduce("COUNT", (), "n"), Reduce("QUANTILE", ("@y", "0.5"), "q"), Reduce("MAX", ("@x",), "m"), Reduce("QUANTILE", ("@x", "1"), "p"))
+    assert between == {"even": (25_000.0, None, 49_999.0, 49_999.0), None: (25_000.0, 1.0, 50_000.0, 50_000.0)}
+    last = reduced(Reduce("QUANTILE", ("@z", "1")), Reduce("QUANTILE", ("@z", "0.99996")))
+    assert math.isnan(last[None][0]) and last[None][1] == 0.5 and last["even"] == (None, None)
+    for share in ("@x", "1.1", "-1", "'a'"):
+        with pytest.raises(QueryError):
+            reduced(Reduce("QUANTILE", ("@x", share)))

@@ -115,3 +115,12 @@ def test_no_cap_on_words(spark, tmp_path, name):
     spark.createDataFrame([(i, w, "en", "a", len(w)) for i, w in enumerate(words)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert len(words) > 200
     assert {r.key for r in QUERIES[name](spark, str(tmp_path)).collect()} == {f"doc:{i}" for i in range(len(words))}
+
+
+def test_quantile_and_distinct_are_exact(spark, tmp_path):
+    """More line numbers than an estimate counts right: six copies, each with line numbers of its own."""
+    con = duckdb.connect()
+    con.sql(f"copy (select * replace (cast(l_linenumber + 7 * copies.i as integer) as l_linenumber) from '{D}/lineitem.parquet', range(6) copies(i)) to '{tmp_path}/lineitem.parquet'")
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    got = [(r.l_returnflag, r.q, r.d) for r in QUERIES["agg_quantile"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(con.sql(ORACLES["agg_quantile"]).fetchall()) and {d for _, _, d in got} == {42.0}
